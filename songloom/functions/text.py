@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 # Patterns, sentences and lengths that results depend on.
-EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Every character that counts as whitespace: controls, space, NEL, NBSP, Unicode spaces.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 KEY_SEPARATOR = "||"
 INSTRUMENTAL_SENTENCE = "This is an instrumental track with no vocals or lyrics."
@@ -16,7 +21,7 @@ PREVIEW_LINES = 6
 
 def strip(text: Column) -> Column:
     """Cut Unicode whitespace at both ends (``trim`` only knows the space)."""
-    return F.regexp_replace(text, EDGE_WHITESPACE, "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def non_empty(text: Column) -> Column:

@@ -6,6 +6,7 @@ different models never meet.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -38,14 +39,9 @@ def encode(df: DataFrame, encoder: Encoder, text: str = "document") -> DataFrame
     )
 
 
-def word_buckets(text: Column, dim: int) -> Column:
-    """The bucket of every word, from the first 32 bits of its MD5."""
-
-    def bucket(word: Column) -> Column:
-        head = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
-        return F.pmod(head, F.lit(dim)).cast("int")
-
-    return F.transform(words(text), bucket)
+def word_bucket(word: str, dim: int) -> int:
+    """The bucket of a word, from the first 32 bits of its MD5."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
 
 
 @dataclass(frozen=True)
@@ -59,7 +55,7 @@ class HashingEncoder:
         return f"hashing-{self.dim}"
 
     def embedding(self, text: Column) -> Column:
-        return _unit_counts(self.dim)(word_buckets(text, self.dim))
+        return _unit_counts(self.dim)(words(text))
 
 
 def _unit_counts(dim: int):
@@ -67,7 +63,10 @@ def _unit_counts(dim: int):
     def unit_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             n = len(lists)
-            buckets = lists.flatten().to_numpy(zero_copy_only=False)
+            # Each different word of the batch is hashed once.
+            held = lists.flatten().dictionary_encode()
+            by_word = [word_bucket(w, dim) for w in held.dictionary.to_pylist()]
+            buckets = np.array(by_word, dtype="int64")[held.indices.to_numpy()]
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             cells = np.repeat(np.arange(n), lengths) * dim + buckets
             counts = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype("float64")

@@ -33,34 +33,28 @@ def keyword_search(
     every_word = sorted({word for row in asked for word in row.asked})
 
     text = F.concat_ws(" ", "name", "artist", "album", "plain_lyrics")
-    # One pass over the words of a record; each query then looks at the few that hit.
+    # The words of a record are searched once; each query then looks at the few that hit.
     hits = F.array_intersect(words(text), _strings(every_word))
+    if len(asked) == 1:
+        # One query: a bounded top-k per task, records included.
+        best = records.withColumn("score", F.size(hits)).orderBy(F.desc("score"), "id").limit(count)
+        order = Window.orderBy(F.desc("score"), F.asc("id"))
+        ranked = best.where("score > 0").withColumn("rank", F.row_number().over(order))
+        return ranked.select(
+            F.lit(asked[0].query_id).alias("query_id"), "rank", "score", *records.columns
+        )
     per_query = F.array(*[
         F.struct(
             F.lit(row.query_id).alias("query_id"),
-            F.size(F.array_intersect(F.col("_hits"), _strings(row.asked))).alias("score"),
+            F.size(F.array_intersect(F.col("hits"), _strings(row.asked))).alias("score"),
         )
         for row in asked
     ])
-    scored = (
-        records.withColumn("_hits", hits)
-        .where(F.size("_hits") > 0)
+    scored = records.select("id", hits.alias("hits")).select(
+        "id", F.inline(F.filter(per_query, lambda s: s["score"] > 0))
     )
-    if len(asked) == 1:
-        # One query: a bounded top-k per task, records included.
-        best = scored.withColumn("score", F.size("_hits")).orderBy(F.desc("score"), "id").limit(count)
-        order = Window.orderBy(F.desc("score"), F.asc("id"))
-        ranked = best.withColumn("rank", F.row_number().over(order))
-        return ranked.select(
-            F.lit(asked[0].query_id).alias("query_id"), "rank", "score", *records.columns
-        )
-    pairs = scored.select("id", F.explode(per_query).alias("s")).select("id", "s.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = (
-        pairs.where("score > 0")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= count)
-    )
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
     if len(asked) * count <= BROADCAST_HITS:
         ranked = F.broadcast(ranked)
     return ranked.join(records, "id").select("query_id", "rank", "score", *records.columns)

@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def large_table(spark: SparkSession, sf_dir: str, name: str, by: str) -> DataFrame:
+    """A table with much work per row, spread over the cores.
+
+    The files here have one row group and would be one task. A table of many files has
+    tasks enough and is read as it is.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, by)
+
+
 def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("seq"),
@@ -36,7 +47,7 @@ def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item is a play; returned ones are filed under another artist."""
-    lines = table(spark, sf_dir, "lineitem").select(*PLAY_ORDER, "l_returnflag")
+    lines = large_table(spark, sf_dir, "lineitem", "l_orderkey").select(*PLAY_ORDER, "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     artist = F.when(F.col("l_returnflag") == "R", F.col("p_type")).otherwise(F.col("p_brand"))
     songs = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -66,7 +77,7 @@ def user_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lyric records of the part with the same number."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = large_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang")
     parts = table(spark, sf_dir, "part")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled_id")
     silent = F.coalesce(F.col("toxic") == 1, F.lit(False))

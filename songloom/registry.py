@@ -480,7 +480,7 @@ def document_text(spark, sf_dir):
   FROM documents JOIN part ON doc_id = p_partkey""")
 def document_text_with_album(spark, sf_dir):
     songs = proxies.liked(spark, sf_dir)
-    texts = proxies.table(spark, sf_dir, "documents").select(
+    texts = proxies.large_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id"), F.col("text").alias("plain_lyrics")
     )
     both = songs.join(texts, F.col("seq") == F.col("doc_id"))
@@ -511,7 +511,7 @@ def index_run_stats(spark, sf_dir):
 @query("WITH " + hashed("d", "doc_id", "documents") + """
   SELECT id AS doc_id, b AS bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM d_v""")
 def hash_encode(spark, sf_dir):
-    texts = proxies.table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = proxies.large_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     cells = encode(texts, ENCODER, "text").select(
         "doc_id", F.posexplode("embedding").alias("bucket", "w")
     )
@@ -594,7 +594,7 @@ def vector_topk_batch(spark, sf_dir):
        + "," + hashed_scores(10) + """
   SELECT query_id, rank, id, round(score, 6) AS score FROM hits""")
 def text_topk_batch(spark, sf_dir):
-    texts = proxies.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = proxies.large_table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
     asked = proxies.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     index = encode(texts, ENCODER, "text").drop("text")
     queries = indexing.query_vectors(asked, ENCODER)
@@ -750,7 +750,7 @@ def normalize_plays(spark, sf_dir):
 
 def _play_pages(spark, sf_dir) -> DataFrame:
     """Every order as a page of plays; an order of one line sends an object, not a list."""
-    lines = proxies.table(spark, sf_dir, "lineitem").select(*proxies.PLAY_ORDER, "l_linestatus")
+    lines = proxies.large_table(spark, sf_dir, "lineitem", "l_orderkey").select(*proxies.PLAY_ORDER, "l_linestatus")
     parts = proxies.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     running = F.when(F.col("l_linestatus") == "O", "true")
