@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from songloom.functions.text import lyric_status
 from songloom.operators.library import with_lookup
-from songloom.operators.lookup import LOOKUP, LYRIC_COLUMNS, look_up
+from songloom.operators.lookup import LOOKUP, LOOKUP_NULLS, LYRIC_COLUMNS, look_up
 from songloom.operators.ordering import checked_limit, first_n, first_per_key, last_per_key
 from songloom.operators.skew import HOT_ROWS, join_unique
 from songloom.operators.upsert import upsert
@@ -110,7 +110,7 @@ def _first_songs(asked, cache, records, unique: bool, hot: int | None, keep: Kee
     narrow = asked.select(*LOOKUP, *names, "seq")
     firsts = narrow if unique else first_per_key(narrow)
     misses = firsts.join(cache.select("key"), "key", "left_anti")
-    looked_up = keep(look_up(misses, records, unique_keys=True), "lookups")
+    looked_up = keep(look_up(misses, records, True, hot or HOT_ROWS), "lookups")
 
     # Cache and lookups together answer every key once: the cache after the run.
     entries = cache.select(
@@ -131,12 +131,12 @@ def _every_song(asked, cache, records, unique: bool, hot: int | None, keep: Keep
         lookups = lookups.distinct()
     answers = look_up(lookups, records, unique, hot or HOT_ROWS)
     answers = keep(answers.select(*LOOKUP, *LYRIC_COLUMNS), "lookups")
-    songs = join_unique(asked, answers, LOOKUP, hot_rows=hot)
+    songs = join_unique(asked, answers, LOOKUP, hot_rows=hot, null_safe=LOOKUP_NULLS)
     songs = songs.withColumn("was_cached", F.lit(False)).drop(*_WORK_COLUMNS)
 
     narrow = asked.select(*LOOKUP, "name", "primary_artist", "seq")
     lasts = narrow if unique else last_per_key(narrow)
-    delta = join_unique(lasts, answers, LOOKUP, hot_rows=None)
+    delta = join_unique(lasts, answers, LOOKUP, hot_rows=None, null_safe=LOOKUP_NULLS)
     return Enrichment(songs, _as_entries(delta))
 
 

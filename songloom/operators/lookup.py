@@ -1,9 +1,11 @@
 """Best lyric record of a song: same key, then same album, then nearest length.
 
 A key such as a common title may hold a large part of the songs and of the records, so
-songs and records of a key are never paired. Both sides are first reduced to one row per
-whole second of length, which keeps every record that can be nearest; one ordered pass
-per group then finds the neighbours below and above.
+songs and records of a key are never paired. Where each key is asked for once, every
+record has one lookup to be scored against and the best one is a minimum per key. Where
+a key is asked for with several albums and lengths, both sides are first reduced to one
+row per whole second, which keeps every record that can be nearest; one ordered pass per
+group then finds the neighbours below and above.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from songloom.functions.text import song_key
 from songloom.operators.skew import HOT_ROWS, join_unique
 
 LOOKUP = ("key", "lookup_album", "lookup_seconds")
+LOOKUP_NULLS = ("lookup_seconds",)
 LYRIC_COLUMNS = ("plain_lyrics", "synced_lyrics", "instrumental", "lyrics_found")
 
 
@@ -80,39 +83,49 @@ def _closer() -> Column:
     return F.coalesce(F.when(at.isNotNull(), near), F.col("_lowest"))
 
 
-def best_ids(
-    lookups: DataFrame, records: DataFrame, unique_keys: bool, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``record_id``, the best record of each lookup, NULL if there is none.
+def best_of_one(lookups: DataFrame, records: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Add ``record_id`` to lookups that ask for each key once."""
+    offers = records.select(
+        song_key(F.col("name"), F.col("artist")).alias("key"), "id", "album", "duration"
+    )
+    asked = lookups.select(*LOOKUP)
+    scored = join_unique(offers, asked, how="inner", spread="id", hot_rows=hot_rows)
+    other_album = (F.col("lookup_album") != "") & ~F.col("album").eqNullSafe(F.col("lookup_album"))
+    gap = F.abs(F.col("duration") - F.col("lookup_seconds"))
+    order = F.struct(other_album.alias("album"), gap.isNull().alias("open"), gap.alias("gap"), "id")
+    best = scored.groupBy("key").agg(F.min(order)["id"].alias("record_id"))
+    return lookups.join(best, "key", "left")
 
-    ``lookups`` are distinct in key, album and seconds. ``unique_keys`` says that they
-    are distinct in key alone, so that no group can be large.
-    """
+
+def best_of_many(lookups: DataFrame, records: DataFrame, hot_rows: int) -> DataFrame:
+    """Add ``record_id`` to lookups that are distinct in key, album and seconds."""
     by_album = records_by_second(records)
     by_key = _ends(by_album, ["key", "second"])
     # No album asked for means no album preferred.
     named = by_album.where(F.col("lookup_album") != "")
     found = nearest_id(lookups, named, ["key", "lookup_album"], "album_id")
-    best = F.coalesce("album_id", "key_id").alias("record_id")
-    if unique_keys:
-        answered = nearest_id(found, by_key, ["key"], "key_id")
-        return answered.select(*lookups.columns, best)
     open_ = found.where("album_id is null").select("key", "lookup_seconds").distinct()
     answers = nearest_id(open_, by_key, ["key"], "key_id")
     answered = join_unique(
-        found, answers, ["key", "lookup_seconds"], spread="lookup_album", hot_rows=hot_rows
+        found, answers, ["key", "lookup_seconds"], spread="lookup_album",
+        hot_rows=hot_rows, null_safe=["lookup_seconds"],
     )
-    return answered.select(*lookups.columns, best)
+    return answered.select(*lookups.columns, F.coalesce("album_id", "key_id").alias("record_id"))
 
 
 def look_up(
     lookups: DataFrame, records: DataFrame, unique_keys: bool, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add the lyric columns of the best record; a miss has NULL lyrics and is not found."""
+    """Add the lyric columns of the best record; a miss has NULL lyrics and is not found.
+
+    ``unique_keys`` says that each key is asked for once; otherwise lookups are distinct
+    in key, album and seconds.
+    """
     # Misses have no record id and would all meet in one task; a second join column
     # spreads them. On the record side it is always 0 (written so that it stays a join key).
     miss = F.when(F.col("record_id").isNull(), F.xxhash64(*LOOKUP)).otherwise(0)
-    ids = best_ids(lookups, records, unique_keys, hot_rows).withColumn("_miss", miss)
+    best = best_of_one if unique_keys else best_of_many
+    ids = best(lookups, records, hot_rows).withColumn("_miss", miss)
     lyrics = records.select(
         F.col("id").alias("record_id"),
         F.pmod(F.col("id"), F.lit(1)).cast("bigint").alias("_miss"),

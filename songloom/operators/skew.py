@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,12 +34,12 @@ def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     )
 
 
-def _match(left: str, right: str, on: Sequence[str]) -> Column:
-    same = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in on]
-    condition = same[0]
-    for one in same[1:]:
-        condition = condition & one
-    return condition
+def _match(left: str, right: str, on: Sequence[str], null_safe: Sequence[str]) -> Column:
+    def same(name: str) -> Column:
+        a, b = F.col(f"{left}.{name}"), F.col(f"{right}.{name}")
+        return a.eqNullSafe(b) if name in null_safe else a == b
+
+    return reduce(and_, map(same, on))
 
 
 def join_unique(
@@ -47,8 +49,11 @@ def join_unique(
     how: str = "left",
     spread: str = "seq",
     hot_rows: int | None = HOT_ROWS,
+    null_safe: Sequence[str] = (),
 ) -> DataFrame:
-    """Join ``rows`` to ``table``, which has at most one row per ``on`` (NULL is a value).
+    """Join ``rows`` to ``table``, which has at most one row per ``on``.
+
+    In the columns named by ``null_safe`` NULL is a value like others.
 
     Rows of a hot key get a salt made from ``spread``; the table's row for that key is
     copied once per salt. ``hot_rows=None`` says that ``rows`` are unique as well.
@@ -56,16 +61,16 @@ def join_unique(
     on = list(on)
     if hot_rows is not None:
         hot = F.broadcast(hot_keys(rows, on, hot_rows))
-        salted = rows.alias("r").join(hot.alias("h"), _match("r", "h", on), "left")
+        salted = rows.alias("r").join(hot.alias("h"), _match("r", "h", on, null_safe), "left")
         salt = F.coalesce(F.pmod(F.xxhash64(F.col(f"r.{spread}")), F.col("h._salts")), F.lit(0))
         rows = salted.select("r.*", salt.cast("int").alias("_salt"))
 
-        copied = table.alias("t").join(hot.alias("h"), _match("t", "h", on), "left")
+        copied = table.alias("t").join(hot.alias("h"), _match("t", "h", on, null_safe), "left")
         last = F.coalesce(F.col("h._salts"), F.lit(1)) - 1
         table = copied.select("t.*", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
         on = [*on, "_salt"]
 
-    joined = rows.alias("l").join(table.alias("t"), _match("l", "t", on), how)
+    joined = rows.alias("l").join(table.alias("t"), _match("l", "t", on, null_safe), how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("_salt")
     added = [F.col(f"t.{c}") for c in table.columns if c not in on]

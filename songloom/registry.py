@@ -269,7 +269,7 @@ def lyric_lookup_best(spark, sf_dir):
     songs = with_lookup(proxies.liked(spark, sf_dir), LIKED_SOURCE)
     asked = songs.select("key", "lookup_album", "lookup_seconds").distinct()
     answers = look_up(asked, proxies.records(spark, sf_dir), unique_keys=False)
-    joined = en.join_unique(songs, answers, en.LOOKUP)
+    joined = en.join_unique(songs, answers, en.LOOKUP, null_safe=en.LOOKUP_NULLS)
     return joined.select(
         "seq", "key", "record_id", digest("plain_lyrics"), "instrumental", "lyrics_found"
     )
