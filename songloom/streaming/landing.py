@@ -1,0 +1,33 @@
+"""Play history that keeps coming in: landed pages as a stream.
+
+The services hand out a history page by page. Landed pages are therefore also read as a
+stream: every run takes the pages that came since the last one, each exactly once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from songloom import schemas
+from songloom.sources.landed import normalize_plays
+
+
+def stream_pages(spark: SparkSession, pages: str) -> DataFrame:
+    """Pages of a folder of JSON lines, as they arrive."""
+    return spark.readStream.schema(schemas.PAGE).json(pages)
+
+
+def land_plays(spark: SparkSession, pages: str, plays: str, checkpoint: str) -> StreamingQuery:
+    """Append the plays of all new pages to the Parquet folder ``plays``, then stop.
+
+    Rows are parsed one page at a time and keep no state. ``checkpoint`` lies in a shared
+    folder; it remembers which pages are in.
+    """
+    return (
+        normalize_plays(stream_pages(spark, pages)).writeStream
+        .format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(plays)
+    )
