@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-# Prefixes up to this length are cheap to gather in one task; longer ones are not.
-SHORT_PREFIX = 100_000
+# Every task may send a prefix of this length to the one that picks the final rows.
+SHORT_PREFIX = 1_000
+# Numbering works on groups of 2**16 neighbouring values, and of such groups again.
+GROUP_BITS = 16
+LEVELS = 3
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,7 +41,7 @@ def checked_limit(limit: int | None) -> int | None:
     return limit or None
 
 
-def first_n(df: DataFrame, limit: int | None, span: int = 1 << 20) -> DataFrame:
+def first_n(df: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` rows by ``seq``.
 
     A short prefix is a top-k. A long one would pass through one task that way, so it is
@@ -49,26 +52,42 @@ def first_n(df: DataFrame, limit: int | None, span: int = 1 << 20) -> DataFrame:
         return df
     if limit <= SHORT_PREFIX:
         return df.orderBy("seq").limit(limit)
-    return number_rows(df, span=span).where(F.col("number") <= limit).drop("number")
+    return number_rows(df).where(F.col("number") <= limit).drop("number")
 
 
-def number_rows(df: DataFrame, order: str = "seq", span: int = 1 << 20) -> DataFrame:
-    """Number rows 1, 2, .. by an integer column, without one global sort.
+def number_rows(df: DataFrame, order: str = "seq") -> DataFrame:
+    """Number rows 1, 2, .. by a unique bigint column, without one global sort.
 
-    Rows are cut into ranges of ``span`` values. The counts of the ranges, one row per
-    range, give each range its offset; numbering inside a range is a local window.
-    ``span`` only balances the work, any value gives the same numbers.
+    Rows are numbered inside groups of neighbouring values; the counts of the groups give
+    each group its offset. As every level joins 2**16 values, no task sorts more than
+    65536 rows as one window, however the values are spread.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    grouped = df.withColumn("_group", F.shiftright(order, GROUP_BITS))
+    counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_group").orderBy(order))
     return (
-        ranged.withColumn("_inside", inside)
-        .join(offsets, "_range")
+        grouped.withColumn("_inside", inside)
+        .join(_offsets(counts, LEVELS - 1), "_group")
         .withColumn("number", F.col("_offset") + F.col("_inside"))
-        .drop("_range", "_inside", "_offset")
+        .drop("_group", "_inside", "_offset")
     )
+
+
+def _offsets(counts: DataFrame, levels: int) -> DataFrame:
+    """``_group, _offset``: how many rows lie in the groups before."""
+    if levels == 0:
+        # At most 2**16 groups are left.
+        return counts.select("_group", _rows_before(Window.orderBy("_group")).alias("_offset"))
+    upper = counts.withColumn("_upper", F.shiftright("_group", GROUP_BITS))
+    sums = upper.groupBy(F.col("_upper").alias("_group")).agg(F.sum("_n").alias("_n"))
+    above = _offsets(sums, levels - 1).toDF("_upper", "_above")
+    before = _rows_before(Window.partitionBy("_upper").orderBy("_group"))
+    return (
+        upper.withColumn("_before", before).join(above, "_upper")
+        .select("_group", (F.col("_above") + F.col("_before")).alias("_offset"))
+    )
+
+
+def _rows_before(window: WindowSpec) -> Column:
+    lower = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(lower), F.lit(0))

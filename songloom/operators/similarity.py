@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from songloom.functions.vectors import cosine, dot
 SCORE_DIGITS = 9
 # Query vectors sent to every task at once. More queries take more passes over the index.
 BLOCK_BYTES = 64 << 20
+# Up to this many queries need no matrix product.
+FEW_QUERIES = 4
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -32,39 +35,38 @@ def _score(i: str, q: str) -> Column:
     return F.round(cosine(products, F.col(f"{i}.norm"), F.col(f"{q}.norm")), SCORE_DIGITS)
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, id, score`` of the best ``k`` per query, in column expressions.
-
-    For a few queries, such as one search. The index streams past the queries; only ids
-    and vectors take part.
-    """
-    narrow = index.select("id", "model", "embedding", "norm").alias("i")
-    pairs = narrow.join(queries.alias("q"), F.col("i.model") == F.col("q.model"))
-    return _ranked(pairs.select("q.query_id", "i.id", _score("i", "q").alias("score")), k)
-
-
-def batch_top_k(
-    queries: DataFrame, index: DataFrame, k: int, block_bytes: int = BLOCK_BYTES
+def top_k(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int,
+    few: int = FEW_QUERIES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """As ``top_k`` for many queries, one matrix product per Arrow batch.
+    """``query_id, rank, id, score`` of the best ``k`` per query.
 
-    The queries are cut into blocks whose size is checked; each block is broadcast and
-    takes one pass over the index. A task keeps only the best k per query of what it read.
+    The queries are counted first. A few are compared in column expressions. More of them
+    are cut into blocks of checked size; each block is broadcast, takes one pass over the
+    index and one matrix product per Arrow batch. Only ids and vectors take part.
     """
     sizes = queries.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")
     ).collect()
-    passes = [
-        _block_top_k(block, index, row.model, k)
+    if sum(row.n for row in sizes) <= few:
+        return _few_top_k(queries, index, k)
+    scored = [
+        _block_scores(block, index, row.model, k)
         for row in sizes
         for block in _blocks(queries, row.model, row.n, max(1, block_bytes // (8 * row.dim)))
     ]
-    if not passes:
-        return top_k(queries, index, k)
-    scored = passes[0]
-    for one in passes[1:]:
-        scored = scored.unionByName(one)
-    return _ranked(scored, k)
+    return _ranked(reduce(DataFrame.unionByName, scored), k)
+
+
+def _few_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    narrow = index.select("id", "model", "embedding", "norm").alias("i")
+    # Every vector has the same model: only a broadcast of the counted queries will do.
+    asked = F.broadcast(queries).alias("q")
+    pairs = narrow.join(asked, F.col("i.model") == F.col("q.model"))
+    return _ranked(pairs.select("q.query_id", "i.id", _score("i", "q").alias("score")), k)
 
 
 def _blocks(queries: DataFrame, model: str, n: int, rows: int) -> Iterator[DataFrame]:
@@ -79,7 +81,7 @@ def _blocks(queries: DataFrame, model: str, n: int, rows: int) -> Iterator[DataF
         yield mine.where(part == i)
 
 
-def _block_top_k(block: DataFrame, index: DataFrame, model: str, k: int) -> DataFrame:
+def _block_scores(block: DataFrame, index: DataFrame, model: str, k: int) -> DataFrame:
     table = block.toArrow()
     spark = index.sparkSession
     types = {f.name: f.dataType.simpleString() for f in block.schema.fields}

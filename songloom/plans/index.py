@@ -11,7 +11,7 @@ from songloom.functions.vectors import match_percent
 from songloom.operators.documents import documents, found_songs
 from songloom.operators.encoders import Encoder, encode
 from songloom.operators.ordering import checked_limit
-from songloom.operators.similarity import batch_top_k, top_k
+from songloom.operators.similarity import top_k
 from songloom.operators.upsert import upsert
 
 INDEX_COLUMNS = (
@@ -19,8 +19,6 @@ INDEX_COLUMNS = (
     "track_name", "artist_name", "album", "instrumental", "has_lyrics",
 )
 DEFAULT_RESULTS = 5
-# Up to this many query texts a search is one lazy plan of column expressions.
-FEW_QUERIES = 4
 # Up to this many found ids the documents are not shuffled to show them.
 BROADCAST_HITS = 200_000
 
@@ -66,8 +64,7 @@ def search(
         rows = list(enumerate(texts))
         queries = index.sparkSession.createDataFrame(rows, "query_id bigint, text string")
         n = len(rows)
-    rank = top_k if n <= FEW_QUERIES else batch_top_k
-    hits = rank(query_vectors(queries, encoder), index, count)
+    hits = top_k(query_vectors(queries, encoder), index, count)
     return results(hits, index, encoder.model, n * count)
 
 

@@ -98,7 +98,7 @@ def user_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lyric records of the part with the same number."""
-    documents = large_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang")
+    documents = large_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     parts = table(spark, sf_dir, "part")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled_id")
     silent = F.coalesce(F.col("toxic") == 1, F.lit(False))
@@ -114,7 +114,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             silent.alias("instrumental"),
             F.when(~silent, F.col("text")).alias("plain_lyrics"),
             F.lit(None).cast("string").alias("synced_lyrics"),
-            "lang",
             F.col("labelled_id").isNotNull().alias("labelled"),
         )
     )
@@ -152,9 +151,8 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New cache rows in the order they are saved: every French document, by number."""
-    french = records(spark, sf_dir).where("lang = 'fr'")
-    return french.select(
+    """New cache rows in the order they are saved: the documents without a label, by number."""
+    return records(spark, sf_dir).where("NOT labelled").select(
         song_key(F.col("name"), F.col("artist")).alias("key"),
         F.col("name").alias("track_name"), F.col("artist").alias("artist_name"),
         "plain_lyrics", "synced_lyrics", "instrumental",

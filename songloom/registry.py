@@ -23,7 +23,7 @@ from songloom.operators.listings import (
 )
 from songloom.operators.lookup import look_up
 from songloom.operators.ordering import first_n, last_per_key
-from songloom.operators.similarity import batch_top_k, top_k
+from songloom.operators.similarity import top_k
 from songloom.plans import index as indexing
 from songloom.session import shared_dir
 from songloom.sources import landed
@@ -78,7 +78,7 @@ RECORDS = f"""
   SELECT doc_id AS id, p_name AS name, p_brand AS artist, p_type AS album,
     CAST(p_size * 10 AS DOUBLE) AS duration, coalesce(toxic = 1, false) AS instrumental,
     CASE WHEN coalesce(toxic = 1, false) THEN NULL ELSE text END AS plain_lyrics,
-    CAST(NULL AS VARCHAR) AS synced_lyrics, lang, labels.doc_id IS NOT NULL AS labelled,
+    CAST(NULL AS VARCHAR) AS synced_lyrics, labels.doc_id IS NOT NULL AS labelled,
     {KEY.format('p_name', 'p_brand')} AS key
   FROM documents JOIN part ON doc_id = p_partkey LEFT JOIN labels USING (doc_id)"""
 CACHE = f"""
@@ -375,7 +375,7 @@ _SAVED = """
   SELECT * FROM (SELECT key, name AS track_name, artist AS artist_name, instrumental,
       true AS lyrics_found, plain_lyrics,
       row_number() OVER (PARTITION BY key ORDER BY id DESC) AS rn
-    FROM records WHERE lang = 'fr') WHERE rn = 1"""
+    FROM records WHERE NOT labelled) WHERE rn = 1"""
 
 
 @query(sql("records", f"""
@@ -581,13 +581,13 @@ def _six_digits(hits: DataFrame) -> DataFrame:
 @query(_VECTOR_SQL)
 def vector_topk(spark, sf_dir):
     index = _stored_vectors(spark, sf_dir)
-    return _six_digits(top_k(_label_queries(index), index, 10))
+    return _six_digits(top_k(_label_queries(index), index, 10, few=1000))
 
 
 @query(_VECTOR_SQL)
 def vector_topk_batch(spark, sf_dir):
     index = _stored_vectors(spark, sf_dir)
-    return _six_digits(batch_top_k(_label_queries(index), index, 10))
+    return _six_digits(top_k(_label_queries(index), index, 10, few=0))
 
 
 @query("WITH " + hashed("d", "doc_id", "documents") + "," + hashed("q", "item_id", "benchmark")
@@ -598,7 +598,7 @@ def text_topk_batch(spark, sf_dir):
     asked = proxies.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     index = encode(texts, ENCODER, "text").drop("text")
     queries = indexing.query_vectors(asked, ENCODER)
-    return _six_digits(batch_top_k(queries, index, 10))
+    return _six_digits(top_k(queries, index, 10, few=0))
 
 
 _TEXT_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(SEARCH_TEXTS))

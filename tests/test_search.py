@@ -9,7 +9,7 @@ from songloom.operators.encoders import (
     DEFAULT_MODEL, HashingEncoder, ModelEncoder, encode, encoder_for, word_bucket,
 )
 from songloom.operators.keyword import keyword_search
-from songloom.operators.similarity import batch_top_k, top_k
+from songloom.operators.similarity import top_k
 from songloom.plans.index import build_index, index_rows, search, with_album
 
 ENCODER = HashingEncoder(16)
@@ -88,7 +88,7 @@ def test_both_ways_equal_brute_force(spark, k):
     asked = [0, 7, 10, 200, 250]
     queries = index.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id")
     expect = sorted(brute(data, asked, k))
-    for hits in (top_k(queries, index, k), batch_top_k(queries, index, k), batch_top_k(queries, index, k, block_bytes=128)):
+    for hits in (top_k(queries, index, k, few=5), top_k(queries, index, k), top_k(queries, index, k, block_bytes=128)):
         got = sorted(tuple(r) for r in hits.collect())
         assert [g[:3] for g in got] == [e[:3] for e in expect]
         assert np.allclose([g[3] for g in got], [e[3] for e in expect], atol=1e-9)
@@ -97,8 +97,8 @@ def test_both_ways_equal_brute_force(spark, k):
 def test_models_do_not_meet(spark):
     _, index = vectors(spark, 20)
     queries = index.withColumnRenamed("id", "query_id").withColumn("model", F.lit("other"))
-    assert top_k(queries, index, 3).count() == batch_top_k(queries, index, 3).count() == 0
-    assert batch_top_k(queries.where("false"), index, 3).count() == 0
+    assert top_k(queries, index, 3, few=20).count() == top_k(queries, index, 3).count() == 0
+    assert top_k(queries.where("false"), index, 3).count() == 0
 
 
 def test_search_end_to_end(spark):
