@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from songloom.functions.text import words
 from songloom.operators.ordering import checked_limit
+from songloom.operators.skew import join_unique
 
 DEFAULT_RESULTS = 5
 # Up to this many results the records are not shuffled to show them.
@@ -56,8 +57,10 @@ def keyword_search(
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
     if len(asked) * count <= BROADCAST_HITS:
-        ranked = F.broadcast(ranked)
-    return ranked.join(records, "id").select("query_id", "rank", "score", *records.columns)
+        shown = F.broadcast(ranked).join(records, "id")
+    else:
+        shown = join_unique(ranked, records, ["id"], "inner", spread="query_id")
+    return shown.select("query_id", "rank", "score", *records.columns)
 
 
 def _strings(values: list[str]):

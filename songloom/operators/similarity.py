@@ -12,13 +12,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from songloom.functions.vectors import cosine, dot
 
 SCORE_DIGITS = 9
 # Query vectors sent to every task at once. More queries take more passes over the index.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+# Scores held at once by a task.
+SCORE_CELLS = 4 << 20
 # Up to this many queries need no matrix product.
 FEW_QUERIES = 4
 
@@ -35,22 +37,28 @@ def _score(i: str, q: str) -> Column:
     return F.round(cosine(products, F.col(f"{i}.norm"), F.col(f"{q}.norm")), SCORE_DIGITS)
 
 
+def query_sizes(queries: DataFrame) -> list[Row]:
+    """``model, n, dim``: how many query vectors of which length there are."""
+    n, dim = F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")
+    return queries.groupBy("model").agg(n, dim).collect()
+
+
 def top_k(
     queries: DataFrame,
     index: DataFrame,
     k: int,
     few: int = FEW_QUERIES,
     block_bytes: int = BLOCK_BYTES,
+    sizes: list[Row] | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the best ``k`` per query.
 
-    The queries are counted first. A few are compared in column expressions. More of them
+    The queries are counted first, unless ``sizes`` says it. A few are compared in column expressions. More of them
     are cut into blocks of checked size; each block is broadcast, takes one pass over the
     index and one matrix product per Arrow batch. Only ids and vectors take part.
     """
-    sizes = queries.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")
-    ).collect()
+    if sizes is None:
+        sizes = query_sizes(queries)
     if sum(row.n for row in sizes) <= few:
         return _few_top_k(queries, index, k)
     scored = [
@@ -93,10 +101,13 @@ def _block_scores(block: DataFrame, index: DataFrame, model: str, k: int) -> Dat
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
         best = _Best(k, vectors.shape[1])
+        step = max(1, SCORE_CELLS // max(1, vectors.shape[1]))
         for batch in batches:
-            if batch.num_rows and vectors.shape[1]:
-                rows = _unit_rows(batch["embedding"], batch["norm"])
-                best.add(np.round(np.clip(rows @ vectors, -1.0, 1.0), SCORE_DIGITS), batch["id"])
+            for start in range(0, batch.num_rows if vectors.size else 0, step):
+                part = batch.slice(start, step)
+                rows = _unit_rows(part["embedding"], part["norm"])
+                scores = np.clip(rows @ vectors, -1.0, 1.0)
+                best.add(np.round(scores, SCORE_DIGITS), part["id"])
         at, ids, scores = best.rows()
         if len(at):
             yield pa.RecordBatch.from_arrays(

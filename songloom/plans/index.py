@@ -11,7 +11,8 @@ from songloom.functions.vectors import match_percent
 from songloom.operators.documents import documents, found_songs
 from songloom.operators.encoders import Encoder, encode
 from songloom.operators.ordering import checked_limit
-from songloom.operators.similarity import top_k
+from songloom.operators.similarity import query_sizes, top_k
+from songloom.operators.skew import join_unique
 from songloom.operators.upsert import upsert
 
 INDEX_COLUMNS = (
@@ -58,24 +59,27 @@ def search(
     ``texts`` is a list of texts, numbered from 0, or a table ``query_id, text``.
     """
     count = checked_limit(k) or 0
-    if isinstance(texts, DataFrame):
-        queries, n = texts, texts.count()
-    else:
-        rows = list(enumerate(texts))
-        queries = index.sparkSession.createDataFrame(rows, "query_id bigint, text string")
-        n = len(rows)
-    hits = top_k(query_vectors(queries, encoder), index, count)
-    return results(hits, index, encoder.model, n * count)
+    if not isinstance(texts, DataFrame):
+        texts = index.sparkSession.createDataFrame(
+            list(enumerate(texts)), "query_id bigint, text string"
+        )
+    queries = query_vectors(texts, encoder)
+    sizes = query_sizes(queries)
+    hits = top_k(queries, index, count, sizes=sizes)
+    return results(hits, index, encoder.model, count * sum(row.n for row in sizes))
 
 
 def results(hits: DataFrame, index: DataFrame, model: str, most: int) -> DataFrame:
     """Join documents and names to the ids that were found, ``most`` of them at most."""
-    if most <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
     shown = index.where(F.col("model") == model).select(
         "id", "document", "track_name", "artist_name", "album"
     )
-    return hits.join(shown, "id").select(
+    # The found ids are broadcast while they are few; a song that many queries find is spread.
+    if most <= BROADCAST_HITS:
+        joined = F.broadcast(hits).join(shown, "id")
+    else:
+        joined = join_unique(hits, shown, ["id"], "inner", spread="query_id")
+    return joined.select(
         "query_id", "rank", "track_name", "artist_name", "album",
         (1 - F.col("score")).alias("distance"),
         "score",

@@ -656,6 +656,33 @@ def lyric_search_listing(spark, sf_dir):
     return list_lyric_results(found)
 
 
+@query("""
+  SELECT doc_id, CASE WHEN lines[1] IS NULL THEN NULL
+      ELSE array_to_string(list_slice(lines, 1, 6), chr(10)) END AS preview,
+    CAST(greatest(coalesce(len(lines), 0) - 6, 0) AS INTEGER) AS more_lines,
+    CASE WHEN text <> '' THEN 'yes' ELSE 'no' END AS lyrics,
+    CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS head
+  FROM (SELECT *, CASE WHEN text <> '' THEN
+      string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) END AS lines
+    FROM documents)""")
+def lyric_preview(spark, sf_dir):
+    text = F.col("text")
+    return proxies.large_table(spark, sf_dir, "documents", "doc_id").select(
+        "doc_id", tx.lyric_preview(text).alias("preview"),
+        tx.further_lines(text).alias("more_lines"),
+        tx.has_lyrics_label(text).alias("lyrics"), tx.document_preview(text).alias("head"),
+    )
+
+
+@query("""
+  SELECT item_id, array_to_string(list_filter(
+      regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), ' ') AS text
+  FROM benchmark""")
+def query_text(spark, sf_dir):
+    asked = proxies.table(spark, sf_dir, "benchmark")
+    return asked.select("item_id", tx.query_text(tx.words(F.col("text"))).alias("text"))
+
+
 # Listings ----------------------------------------------------------------------------
 
 @query(sql("liked", """

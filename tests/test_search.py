@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from songloom import schemas
 from songloom.functions.vectors import norm
+from songloom.operators import keyword, similarity
 from songloom.operators.documents import document_text, documents, embeddable
 from songloom.operators.encoders import (
     DEFAULT_MODEL, HashingEncoder, ModelEncoder, encode, encoder_for, word_bucket,
 )
 from songloom.operators.keyword import keyword_search
 from songloom.operators.similarity import top_k
+from songloom.plans import index as plans_index
 from songloom.plans.index import build_index, index_rows, search, with_album
 
 ENCODER = HashingEncoder(16)
@@ -83,7 +85,8 @@ def brute(data, queries, k):
 
 
 @pytest.mark.parametrize("k", [1, 7, 500])
-def test_both_ways_equal_brute_force(spark, k):
+def test_both_ways_equal_brute_force(spark, k, monkeypatch):
+    monkeypatch.setattr(similarity, "SCORE_CELLS", 100)
     data, index = vectors(spark)
     asked = [0, 7, 10, 200, 250]
     queries = index.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id")
@@ -101,7 +104,7 @@ def test_models_do_not_meet(spark):
     assert top_k(queries.where("false"), index, 3).count() == 0
 
 
-def test_search_end_to_end(spark):
+def test_search_end_to_end(spark, monkeypatch):
     df = cache(spark, entry("Rain", "rain rain falling"), entry("Sun", "shining bright"), entry("Gone", None, found=False),
                entry("Quiet", None, instrumental=True), entry("Long", "word " * 100))
     index = build_index(spark.createDataFrame([], schemas.INDEX), df, ENCODER)
@@ -117,6 +120,8 @@ def test_search_end_to_end(spark):
     table = spark.createDataFrame([(i, t) for i, t in enumerate(["rain", "sun", "bright", "quiet", "word", "falling"])], "query_id bigint, text string")
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, search(index, table, ENCODER, 1).collect()))
     assert search(index.where("false"), ["rain"], ENCODER).count() == 0
+    monkeypatch.setattr(plans_index, "BROADCAST_HITS", 0)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, search(index, table, ENCODER, 1).collect()))
     with pytest.raises(ValueError):
         search(index, ["rain"], ENCODER, -1)
 
@@ -135,7 +140,7 @@ def test_album_comes_from_the_library(spark, rows):
     assert rows(got, "id", "album") == [("a||ann", "One"), ("b||ann", "")]
 
 
-def test_keyword_search(spark):
+def test_keyword_search(spark, monkeypatch):
     records = spark.createDataFrame(
         [(3, "Red Rain", "Ann", "A", None, False, "falling", None), (1, "Sun", "Bo", "Rain", None, False, "red red", None),
          (2, "Moon", "Cy", "B", None, True, None, None)],
@@ -148,5 +153,8 @@ def test_keyword_search(spark):
     assert one("nothing") == one("") == one("red", 0) == []
     many = keyword_search(records, {"x": "red rain", "y": "moon cy", "z": ""}, 1)
     assert sorted((r.query_id, r.rank, r.id) for r in many.collect()) == [("x", 1, 1), ("y", 1, 2)]
+    monkeypatch.setattr(keyword, "BROADCAST_HITS", 0)
+    again = keyword_search(records, {"x": "red rain", "y": "moon cy", "z": ""}, 1)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, many.collect()))
     with pytest.raises(ValueError):
         keyword_search(records, "red", -1)
