@@ -100,7 +100,8 @@ class ModelEncoder:
                 rows = np.asarray(run(texts.fillna("").tolist()), dtype="float32")
                 yield pd.Series(list(rows))
 
-        return vectors(text)
+        # So marked, Spark never copies the call into a filter and runs the model twice.
+        return vectors.asNondeterministic()(text)
 
 
 def _sentence_model(name: str):

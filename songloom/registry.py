@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,7 +44,12 @@ WORD_TEXTS = {
 
 def query(sql: str = "") -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
-        QUERIES[run.__name__] = run
+        @wraps(run)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, sf_dir)
+
+        QUERIES[run.__name__] = in_utc
         if sql:
             ORACLES[run.__name__] = sql
         return run
@@ -512,8 +518,9 @@ def index_run_stats(spark, sf_dir):
   SELECT id AS doc_id, b AS bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM d_v""")
 def hash_encode(spark, sf_dir):
     texts = proxies.large_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    # The outer form keeps Spark from encoding twice, once to filter empty vectors.
     cells = encode(texts, ENCODER, "text").select(
-        "doc_id", F.posexplode("embedding").alias("bucket", "w")
+        "doc_id", F.posexplode_outer("embedding").alias("bucket", "w")
     )
     return cells.where("w <> 0").select(
         "doc_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight")
@@ -757,54 +764,51 @@ def _liked_pages(parts: DataFrame) -> DataFrame:
     )
 
 
+# Two pages per seven events, by value: some hold one event only.
+_EVENT_PAGE = "(event_id // 7) * 2 + CASE WHEN value >= 20 THEN 1 ELSE 0 END"
+
+
 @query(f"""
-  SELECT l_orderkey * 4294967296 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {PLAY_ORDER}) - 1
-      AS seq, p_name AS name, p_brand AS artist, p_type AS album,
-    CASE WHEN l_linestatus <> 'O' THEN CAST(CAST(epoch(l_shipdate) AS BIGINT) AS VARCHAR) END
-      AS "timestamp",
-    CASE WHEN l_linestatus <> 'O' THEN strftime(l_shipdate, '%Y-%m-%d') END AS played_on,
-    CASE WHEN l_linestatus = 'O' THEN 'Now playing' ELSE strftime(l_shipdate, '%Y-%m-%d') END
-      AS date_text, l_linestatus = 'O' AS now_playing, '' AS lastfm_url
-  FROM lineitem JOIN part ON l_partkey = p_partkey""")
+  SELECT page * 4294967296 + row_number() OVER (PARTITION BY page ORDER BY event_id) - 1 AS seq,
+    event_type AS name, 'user ' || CAST(user_id AS VARCHAR) AS artist, props AS album,
+    CASE WHEN event_type <> 'error' THEN CAST(CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS VARCHAR) END AS "timestamp",
+    CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M') END AS played_at,
+    CASE WHEN event_type = 'error' THEN 'Now playing' ELSE strftime(ts, '%Y-%m-%d') END AS date_text,
+    event_type = 'error' AS now_playing, '' AS lastfm_url
+  FROM (SELECT *, {_EVENT_PAGE} AS page FROM events)""")
 def normalize_plays(spark, sf_dir):
     plays = landed.normalize_plays(_play_pages(spark, sf_dir))
     return plays.select(
         "seq", "name", "artist", "album", "timestamp",
-        F.date_format("played_at", "yyyy-MM-dd").alias("played_on"),
+        F.date_format("played_at", "yyyy-MM-dd HH:mm").alias("played_at"),
         "date_text", "now_playing", "lastfm_url",
     )
 
 
 def _play_pages(spark, sf_dir) -> DataFrame:
-    """Every order as a page of plays; an order of one line sends an object, not a list."""
-    lines = proxies.large_table(spark, sf_dir, "lineitem", "l_orderkey").select(*proxies.PLAY_ORDER, "l_linestatus")
-    parts = proxies.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    running = F.when(F.col("l_linestatus") == "O", "true")
+    """Events as pages of at most seven plays; a page of one sends an object, not a list."""
+    events = proxies.table(spark, sf_dir, "events")
+    running = F.when(F.col("event_type") == "error", "true")
     track = F.struct(
-        F.col("p_name").alias("name"),
-        F.struct(F.col("p_brand").alias("#text")).alias("artist"),
-        F.struct(F.col("p_type").alias("#text")).alias("album"),
+        F.col("event_type").alias("name"),
+        F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("#text")).alias("artist"),
+        F.struct(F.col("props").alias("#text")).alias("album"),
         F.struct(
-            F.unix_timestamp("l_shipdate").cast("string").alias("uts"), day.alias("#text")
+            F.unix_timestamp("ts").cast("string").alias("uts"),
+            F.date_format("ts", "yyyy-MM-dd").alias("#text"),
         ).alias("date"),
         F.struct(running.alias("nowplaying")).alias("@attr"),
     )
-    placed = F.struct(*proxies.PLAY_ORDER, track.alias("track"))
-    pages = (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("page"))
-        .agg(F.array_sort(F.collect_list(placed))["track"].alias("tracks"))
-    )
-    many = F.to_json(F.struct("tracks"))
-    tracks = F.when(F.size("tracks") == 1, F.to_json(F.col("tracks")[0])).otherwise(
-        F.regexp_extract(many, r"(?s)^\{\"tracks\":(.*)\}$", 1)
-    )
+    half = F.when(F.col("value") >= 20, 1).otherwise(0)
+    page = (F.floor(F.col("event_id") / 7) * 2 + half).cast("bigint").alias("page")
+    placed = F.struct("event_id", track.alias("track"))
+    pages = events.groupBy(page).agg(F.array_sort(F.collect_list(placed))["track"].alias("tracks"))
+    tracks = F.when(F.size("tracks") == 1, F.to_json(F.col("tracks")[0])).otherwise(F.to_json("tracks"))
     totals = F.broadcast(
-        lines.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("l_orderkey").alias("orders"))
+        events.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(page).alias("pages"))
         .select(F.to_json(F.struct(
             F.col("total").cast("string").alias("total"),
-            F.col("orders").cast("string").alias("totalPages"),
+            F.col("pages").cast("string").alias("totalPages"),
         )).alias("attr"), F.lit(1).alias("one"))
     )
     return pages.withColumn("one", F.lit(1)).join(totals, "one").select(
@@ -813,7 +817,7 @@ def _play_pages(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("SELECT count(*) AS total_scrobbles, count(DISTINCT l_orderkey) AS total_pages FROM lineitem")
+@query(f"SELECT count(*) AS total_scrobbles, count(DISTINCT {_EVENT_PAGE}) AS total_pages FROM events")
 def page_totals(spark, sf_dir):
     return landed.page_totals(_play_pages(spark, sf_dir))
 

@@ -4,6 +4,7 @@ import pytest
 
 from songloom import schemas
 from songloom.operators.library import both_sources, unique_plays, with_artist
+from songloom.session import shared_dir
 from songloom.sources import landed, stored_json
 from songloom.sources.tables import TableStore
 from songloom.streaming.landing import land_plays
@@ -114,6 +115,11 @@ def test_stored_json_files(spark, rows, tmp_path):
             assert read(spark, at(name)).count() == 0
 
 
+def test_scratch_tables_go_to_the_shared_folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark).startswith(base) and shared_dir(spark) != shared_dir(spark)
+
+
 def test_snapshots(spark, rows, tmp_path):
     tables, schema = TableStore(spark, str(tmp_path / "t")), "a bigint"
     assert tables.read("x", schema).count() == 0 and tables.clear("x", schema) == 0
