@@ -141,3 +141,9 @@ def look_up(
         "instrumental": F.coalesce("instrumental", F.lit(False)),
         "lyrics_found": F.coalesce("lyrics_found", F.lit(False)),
     })
+
+
+def best_record(lookups: DataFrame, records: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The whole record that answers each lookup; misses have no row. Keys come once."""
+    best = best_of_one(lookups, records, hot_rows).select("record_id")
+    return records.join(best, F.col("id") == F.col("record_id"), "left_semi")

@@ -6,13 +6,14 @@ ranked at nine decimals, ties by id, so both ways of computing agree.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from songloom.functions.vectors import cosine, dot
 
@@ -32,11 +33,6 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "id", "score")
 
 
-def _score(i: str, q: str) -> Column:
-    products = dot(F.col(f"{i}.embedding"), F.col(f"{q}.embedding"))
-    return F.round(cosine(products, F.col(f"{i}.norm"), F.col(f"{q}.norm")), SCORE_DIGITS)
-
-
 def query_sizes(queries: DataFrame) -> list[Row]:
     """``model, n, dim``: how many query vectors of which length there are."""
     n, dim = F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")
@@ -60,7 +56,7 @@ def top_k(
     if sizes is None:
         sizes = query_sizes(queries)
     if sum(row.n for row in sizes) <= few:
-        return _few_top_k(queries, index, k)
+        return _ranked(_few_scores(queries, index), k)
     scored = [
         _block_scores(block, index, row.model, k)
         for row in sizes
@@ -69,12 +65,25 @@ def top_k(
     return _ranked(reduce(DataFrame.unionByName, scored), k)
 
 
-def _few_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    narrow = index.select("id", "model", "embedding", "norm").alias("i")
-    # Every vector has the same model: only a broadcast of the counted queries will do.
-    asked = F.broadcast(queries).alias("q")
-    pairs = narrow.join(asked, F.col("i.model") == F.col("q.model"))
-    return _ranked(pairs.select("q.query_id", "i.id", _score("i", "q").alias("score")), k)
+def _few_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Scores of a counted few queries: their vectors become literals, nothing is joined."""
+    id_type = queries.schema["query_id"].dataType
+    by_model = defaultdict(list)
+    for row in queries.select("query_id", "model", "embedding", "norm").collect():
+        score = F.round(
+            cosine(dot(F.col("embedding"), F.lit(row.embedding)), F.col("norm"), F.lit(row.norm)),
+            SCORE_DIGITS,
+        )
+        query_id = F.lit(row.query_id).cast(id_type).alias("query_id")
+        by_model[row.model].append(F.struct(query_id, score.alias("score")))
+    if not by_model:
+        none = F.lit(None).cast(id_type).alias("query_id")
+        return index.where("false").select(none, "id", F.lit(0.0).alias("score"))
+    parts = [
+        index.where(F.col("model") == model).select("id", F.inline(F.array(*scores)))
+        for model, scores in by_model.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _blocks(queries: DataFrame, model: str, n: int, rows: int) -> Iterator[DataFrame]:

@@ -31,14 +31,20 @@ def index_input_counts(cache: DataFrame) -> DataFrame:
 
 def index_run_stats(songs: DataFrame, indexable: Column, index: DataFrame, model: str) -> DataFrame:
     """Processed, indexed (new or replaced), skipped, and the size of the index after."""
-    run = songs.agg(
-        F.count(F.lit(1)).alias("total_processed"),
-        F.count_if(indexable).alias("indexed"),
-        F.count_if(~indexable).alias("skipped"),
+    none = F.lit(0).cast("bigint")
+    run = songs.select(
+        F.lit(1).alias("total_processed"), indexable.cast("int").alias("indexed"), none.alias("size")
+    )
+    size = index.where(F.col("model") == model).select(
+        none.alias("total_processed"), none.alias("indexed"), F.lit(1).alias("size")
+    )
+    total, indexed, kept = (
+        F.coalesce(F.sum(c), none) for c in ("total_processed", "indexed", "size")
+    )
+    return run.unionByName(size).agg(
+        total.alias("total_processed"), indexed.alias("indexed"),
+        (total - indexed).alias("skipped"), kept.alias("collection_size"),
     )
-    size = index.where(F.col("model") == model).agg(F.count(F.lit(1)).alias("collection_size"))
-    # Two one-row tables side by side.
-    return run.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def index_sizes(index: DataFrame) -> DataFrame:

@@ -7,9 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from songloom import schemas
+from songloom.functions.text import song_key
 from songloom.operators.documents import embeddable, found_songs
 from songloom.operators.encoders import DEFAULT_MODEL, Encoder, encoder_for
-from songloom.operators.enrich import Enrichment, enrich, run_summary
+from songloom.operators.enrich import (
+    Enrichment,
+    enrich,
+    fetch_lyrics,
+    run_summary,
+    save_to_cache,
+)
 from songloom.operators.keyword import keyword_search
 from songloom.operators.library import (
     LIKED_SOURCE,
@@ -18,7 +25,9 @@ from songloom.operators.library import (
     unique_plays,
     with_key,
 )
-from songloom.operators.ordering import last_per_key
+from songloom.operators.listings import list_liked, list_plays
+from songloom.operators.lookup import best_record
+from songloom.operators.ordering import first_n, last_per_key
 from songloom.operators.stats import cache_stats, index_run_stats, store_info, status_report
 from songloom.operators.upsert import upsert
 from songloom.plans import index as indexing
@@ -104,6 +113,14 @@ class Workspace:
             return both_sources(liked, plays), LIKED_SOURCE
         return with_key(liked if source == LIKED_SOURCE else plays, source), source
 
+    def liked_songs(self, limit: int | None = None) -> DataFrame:
+        """The numbered list of liked songs."""
+        return list_liked(first_n(self.tables.read(LIKED_SOURCE, schemas.LIKED), limit))
+
+    def scrobbles(self, limit: int | None = None) -> DataFrame:
+        """The numbered list of plays, the latest first as the service sends them."""
+        return list_plays(first_n(self.raw_plays(), limit))
+
     # lyrics -------------------------------------------------------------------------
 
     def lyrics(self) -> DataFrame:
@@ -112,6 +129,32 @@ class Workspace:
     def cache(self) -> DataFrame:
         return self.tables.read(CACHE, schemas.CACHE)
 
+    def cached_lyrics(self, track: str, artist: str) -> Row | None:
+        """The cache entry of one song."""
+        return self.cache().where(F.col("key") == song_key(F.lit(track), F.lit(artist))).first()
+
+    def get_lyrics(
+        self, track: str, artist: str, album: str = "", duration: int | None = None
+    ) -> Row | None:
+        """The best lyric record for one song, None if there is none."""
+        asked = self.spark.createDataFrame(
+            [(track, artist, album, duration)],
+            "track string, artist string, lookup_album string, lookup_seconds bigint",
+        )
+        key = song_key(F.col("track"), F.col("artist")).alias("key")
+        lookup = asked.select(key, "lookup_album", "lookup_seconds")
+        return best_record(lookup, self.lyrics(), hot_rows=None).first()
+
+    def fetch_lyrics(self, source: str = "auto") -> DataFrame:
+        """Lyrics for the library, past the cache."""
+        songs, mapping = self.library(source)
+        return fetch_lyrics(songs, self.lyrics(), mapping)
+
+    def save_lyrics(self, saved: DataFrame) -> Row:
+        """Put entries into the cache, in the order of ``seq``; the last of a key stays."""
+        keyed = saved.withColumn("key", song_key(F.col("track_name"), F.col("artist_name")))
+        return self.tables.publish(save_to_cache(self.cache(), keyed), CACHE)
+
     def enrich(
         self,
         source: str = "auto",

@@ -804,17 +804,18 @@ def _play_pages(spark, sf_dir) -> DataFrame:
     placed = F.struct("event_id", track.alias("track"))
     pages = events.groupBy(page).agg(F.array_sort(F.collect_list(placed))["track"].alias("tracks"))
     tracks = F.when(F.size("tracks") == 1, F.to_json(F.col("tracks")[0])).otherwise(F.to_json("tracks"))
-    totals = F.broadcast(
-        events.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(page).alias("pages"))
-        .select(F.to_json(F.struct(
-            F.col("total").cast("string").alias("total"),
-            F.col("pages").cast("string").alias("totalPages"),
-        )).alias("attr"), F.lit(1).alias("one"))
+    listed = pages.select(
+        "page", F.concat(F.lit('{"recenttracks":{"track":'), tracks, F.lit("}}")).alias("body")
     )
-    return pages.withColumn("one", F.lit(1)).join(totals, "one").select(
-        "page", F.concat(F.lit('{"recenttracks":{"@attr":'), "attr", F.lit(',"track":'), tracks,
-                         F.lit("}}")).alias("body"),
+    # A last page without plays carries the totals.
+    attr = F.struct(
+        F.count(F.lit(1)).cast("string").alias("total"),
+        F.count_distinct(page).cast("string").alias("totalPages"),
     )
+    totals = events.agg(attr.alias("@attr"), (F.max(page) + 1).alias("page")).select(
+        "page", F.to_json(F.struct(F.struct("`@attr`").alias("recenttracks"))).alias("body")
+    )
+    return listed.unionByName(totals)
 
 
 @query(f"SELECT count(*) AS total_scrobbles, count(DISTINCT {_EVENT_PAGE}) AS total_pages FROM events")

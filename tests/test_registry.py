@@ -42,5 +42,17 @@ def test_query_equals_sql(spark, oracle, name):
     assert got == expect
 
 
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_no_query_pairs_everything(spark, name):
+    plan = driver.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_what_they_need(spark):
+    plan = driver.queries()["uncached_songs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for column in ("text", "p_retailprice", "quality"):
+        assert f"{column}:" not in plan
+
+
 def test_flagship_query(spark):
     assert driver.entry(spark).count() > 0

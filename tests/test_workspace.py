@@ -61,6 +61,11 @@ def test_everything_in_turn(spark, music, rows):
     music.enrich(force=True)
     assert rows(music.cache_stats()) == [(3, 1, 1, 1)]
 
+    assert music.cached_lyrics(" RAIN", "ann ").plain_lyrics == "rain is falling"
+    assert music.cached_lyrics("Sun", "Cy").lyrics_found is False and music.cached_lyrics("x", "y") is None
+    assert music.get_lyrics("rain", "Ann").id == 1 and music.get_lyrics("sun", "Cy", "A", 3) is None
+    assert rows(music.fetch_lyrics("lastfm"), "name", "lyrics_found") == [("Moon", True), ("rain", True)]
+
     counts = {"total_processed": 2, "indexed": 2, "skipped": 0, "collection_size": 2}
     assert music.build_index(ENCODER) == music.build_index(ENCODER) == counts
     assert music.index_size(ENCODER.model) == 2 and music.index_size() == 0
@@ -77,6 +82,10 @@ def test_everything_in_turn(spark, music, rows):
 
     assert music.clear_index(ENCODER.model) == 2 and music.clear_index(ENCODER.model) == 0
     assert music.search("rain", 1, ENCODER).count() == 0
+    new = [("Sun", "Cy", "shine", None, False, True, 1), ("sun ", "cy", "shine on", None, False, True, 2)]
+    music.save_lyrics(spark.createDataFrame(new, "track_name string, artist_name string, plain_lyrics string, "
+                                            "synced_lyrics string, instrumental boolean, lyrics_found boolean, seq bigint"))
+    assert music.cached_lyrics("Sun", "Cy").plain_lyrics == "shine on"
     assert music.clear_cache() == 3 and music.cache().count() == 0
 
 
@@ -97,6 +106,9 @@ def test_listings(spark, music, rows):
     liked, plays = music.library("spotify")[0], music.raw_plays()
     assert rows(list_liked(liked)) == [(1, "Rain", "Ann, Bo", "Skies"), (2, "rain ", "Ann, Bo", "Skies"), (3, "Sun", "Cy", "Skies")]
     assert rows(list_plays(plays), "number", "title", "date") == [(1, "> Moon", "Now playing"), (2, "rain", "14 Nov 2023"), (3, "moon", "14 Nov 2023")]
+    assert rows(music.liked_songs(2)) == rows(list_liked(liked))[:2]
+    assert rows(music.scrobbles(1), "number", "title") == [(1, "> Moon")]
+    assert music.scrobbles().count() == 3
     music.load_lyrics(records(spark))
     assert rows(list_enriched(music.enrich().songs, "spotify")) == [
         (1, "Rain", "Ann", "[found]"), (2, "Sun", "Cy", "[missing]"), (3, "Moon", "Ann", "[instrumental]"),
