@@ -14,4 +14,5 @@ def upsert(table: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     table is passed through without a shuffle.
     """
     keys = new.select(*on)
-    return table.join(keys, list(on), "left_anti").unionByName(new.select(*table.columns))
+    kept = table.join(keys, list(on), "left_anti")
+    return kept.select(*table.columns).unionByName(new)

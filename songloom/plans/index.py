@@ -29,9 +29,23 @@ def index_rows(songs: DataFrame, encoder: Encoder) -> DataFrame:
     return encode(documents(songs), encoder).select(*INDEX_COLUMNS)
 
 
+def changed_rows(index: DataFrame, songs: DataFrame, encoder: Encoder) -> DataFrame:
+    """Index rows of the songs that are new or read differently now.
+
+    Encoding the same document again would give the same row, so it is not done. Documents
+    are compared by digest; the index is read without vectors.
+    """
+    shown = ["id", "track_name", "artist_name", "album", "instrumental"]
+    mine = index.where(F.col("model") == encoder.model)
+    known = mine.select(*shown, F.sha2("document", 256).alias("digest"))
+    offered = documents(songs).withColumn("digest", F.sha2("document", 256))
+    new = offered.join(known, [*shown, "digest"], "left_anti")
+    return encode(new, encoder).select(*INDEX_COLUMNS)
+
+
 def build_index(index: DataFrame, cache: DataFrame, encoder: Encoder) -> DataFrame:
     """The index after indexing all found songs of the cache."""
-    return upsert(index, index_rows(found_songs(cache), encoder), ["model", "id"])
+    return upsert(index, changed_rows(index, found_songs(cache), encoder), ["model", "id"])
 
 
 def with_album(cache: DataFrame, library: DataFrame) -> DataFrame:

@@ -204,8 +204,11 @@ class Workspace:
         if with_album:
             songs = indexing.with_album(songs, self.library()[0])
         index = self.index(encoder.model)
-        rows = indexing.index_rows(songs, encoder)
-        self.tables.publish(upsert(index, rows, ["model", "id"]), INDEX, encoder.model)
+        rows = self._keep(indexing.changed_rows(index, songs, encoder), "index")
+        if index.join(rows, "id", "left_semi").isEmpty():
+            self.tables.attach(self.tables.entry("run_index"), INDEX, encoder.model)
+        else:
+            self.tables.publish(upsert(index, rows, ["model", "id"]), INDEX, encoder.model)
         stats = index_run_stats(songs, embeddable(songs), self.index(encoder.model), encoder.model)
         return stats.first().asDict()
 

@@ -543,7 +543,7 @@ def _index(spark, sf_dir, songs: DataFrame) -> DataFrame:
 def index_upsert(spark, sf_dir):
     before = _index(spark, sf_dir, found_songs(proxies.cache(spark, sf_dir)))
     saved = last_per_key(proxies.delta(spark, sf_dir))
-    after = indexing.upsert(before, _index(spark, sf_dir, saved), ["model", "id"])
+    after = indexing.build_index(before, saved, ENCODER)
     return after.select(
         "id", "model", "instrumental", digest("document"), F.round("norm", 6).alias("length")
     )

@@ -73,9 +73,17 @@ class TableStore:
         df.write.parquet(path)
         # The count comes from the Parquet footers of what was really written.
         n = self.spark.read.schema(df.schema).parquet(path).count()
-        paths = [path]
+        return self._commit(name, part, [path], n, append)
+
+    def attach(self, stored: Row, name: str, part: str = "") -> Row:
+        """Add a published folder to another table of the same columns; nothing is copied."""
+        return self._commit(name, part, stored.paths, stored.n, append=True)
+
+    def _commit(self, name: str, part: str, paths: list[str], n: int, append: bool) -> Row:
+        last = self.entry(name, part)
+        snapshot = 1 if last is None else last.snapshot + 1
         if append and last is not None:
-            paths, n = [*last.paths, path], last.n + n
+            paths, n = [*last.paths, *paths], last.n + n
         row = (name, part, snapshot, paths, datetime.now(timezone.utc), n)
         commit = self.spark.createDataFrame([row], schemas.MANIFEST)
         commit.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")

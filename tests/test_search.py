@@ -12,7 +12,7 @@ from songloom.operators.encoders import (
 from songloom.operators.keyword import keyword_search
 from songloom.operators.similarity import top_k
 from songloom.plans import index as plans_index
-from songloom.plans.index import build_index, index_rows, search, with_album
+from songloom.plans.index import build_index, changed_rows, index_rows, search, with_album
 
 ENCODER = HashingEncoder(16)
 
@@ -134,6 +134,15 @@ def test_indexing_again_replaces(spark, rows):
     assert rows(again, "id", "document") == rows(new, "id", "document")
 
 
+def test_only_changed_songs_are_encoded(spark, rows):
+    index = build_index(spark.createDataFrame([], schemas.INDEX), cache(spark, entry("a"), entry("b"), entry("c")), ENCODER)
+    again = cache(spark, entry("a"), entry("B"), entry("c", "other"), entry("d"))
+    assert rows(changed_rows(index, again, ENCODER), "id", "track_name") == [("b||ann", "B"), ("c||ann", "c"), ("d||ann", "d")]
+    assert changed_rows(index, again, HashingEncoder(8)).count() == 4
+    full = index_rows(again, ENCODER)
+    assert rows(build_index(index, again, ENCODER)) == rows(full)
+
+
 def test_album_comes_from_the_library(spark, rows):
     library = spark.createDataFrame([(2, "a||ann", "Two"), (1, "a||ann", "One")], "seq bigint, key string, album string")
     got = index_rows(with_album(cache(spark, entry("a"), entry("b")), library), ENCODER)

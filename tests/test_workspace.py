@@ -68,6 +68,7 @@ def test_everything_in_turn(spark, music, rows):
 
     counts = {"total_processed": 2, "indexed": 2, "skipped": 0, "collection_size": 2}
     assert music.build_index(ENCODER) == music.build_index(ENCODER) == counts
+    assert [r.n for r in music.tables.manifest().where("name = 'run_index'").orderBy("snapshot").collect()] == [2, 0]
     assert music.index_size(ENCODER.model) == 2 and music.index_size() == 0
     best = music.search("falling rain", 1, ENCODER).first()
     assert (best.track_name, best.album) == ("Rain", "")
