@@ -15,4 +15,4 @@ def upsert(table: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     """
     keys = new.select(*on)
     kept = table.join(keys, list(on), "left_anti")
-    return kept.select(*table.columns).unionByName(new)
+    return kept.select(*table.columns).unionByName(new.select(*table.columns))
