@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import exact, mixing, rules
+from songloom.llm import exact, mixing, near, packing, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,12 @@ ORACLES: dict[str, str] = {}
 WEIGHTS = (5, 2, 1)
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(sql: str = "") -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         @wraps(run)
@@ -44,6 +50,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("hash")
+
+
 @query("""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -103,3 +114,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~rules.kept_under(rules.BASE)).alias("base_failed"),
         rules.kept_under(rules.POLICIES[rules.CURRENT]).alias("kept"), "failed",
     )
+
+
+@query()
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
