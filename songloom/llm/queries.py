@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import exact, mixing, near, packing, rules
+from songloom.llm import exact, mixing, near, packing, rules, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +119,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query()
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
