@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import exact, mixing, near, packing, rules, suffix
+from songloom.llm import exact, mixing, near, packing, quality, rules, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,3 +124,23 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.in_fold(4, 2))
+    forest = quality.learn(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.quality_scores(docs, forest).select(
+        "doc_id", quality.in_fold(4, 2).alias("held_out"), "score", "predicted"
+    )
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.in_fold(5, 0))
+    model = toxicity.learn(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id", quality.in_fold(5, 0).alias("held_out"), "score", "predicted", "evidence"
+    )
