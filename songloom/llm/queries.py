@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import exact, mixing, near, packing, quality, rules, suffix, toxicity
+from songloom.llm import exact, mixing, near, packing, pages, quality, rules, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,3 +144,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select(
         "doc_id", quality.in_fold(5, 0).alias("held_out"), "score", "predicted", "evidence"
     )
+
+
+@query()
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.page_texts(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
