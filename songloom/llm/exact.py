@@ -25,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.llm.common import sized, stored, text_of
+from songloom.llm.common import keep_marked, sized, stored, text_of
+from songloom.llm.hashing import buffer_of
 
 WINDOW = 32
 MASK_BITS = 11
 SHORTEST = 256
 LONGEST = 16_384
 DIGEST_BYTES = 16
+# So much of a batch is hashed at once.
+PART_BYTES = 1 << 20
 
 # One random 64-bit number per byte value, for the rolling hash.
 _GEAR = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.uint64)
@@ -39,13 +42,19 @@ _GEAR = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.uint64)
 
 def _hits(data: np.ndarray) -> np.ndarray:
     """Positions after which a chunk may end: the hash of the last 32 bytes fits the mask."""
-    h = _GEAR[data]
-    for step in (1, 2, 4, 8, 16):
-        moved = np.zeros_like(h)
-        moved[step:] = h[:-step] << np.uint64(step)
-        h = h + moved
-    # The window's bytes all reach the bits from 32 up.
-    return np.flatnonzero((h >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(data), PART_BYTES):
+        # The bytes before a part reach into the hashes of its first ones.
+        lead = min(at, WINDOW)
+        h = _GEAR[data[at - lead : at + PART_BYTES]]
+        for step in (1, 2, 4, 8, 16):
+            moved = np.zeros_like(h)
+            moved[step:] = h[:-step] << np.uint64(step)
+            h += moved
+        # The window's bytes all reach the bits from 32 up.
+        fits = (h[lead:] >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == 0
+        found.append(np.flatnonzero(fits) + at + 1)
+    return np.concatenate(found)
 
 
 def chunk_ends(data: np.ndarray, hits: np.ndarray, start: int, end: int) -> list[int]:
@@ -70,9 +79,7 @@ def _recipe(digest_bytes: int):
     @F.arrow_udf("struct<ids:array<binary>,ends:array<int>>")
     def recipe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            binary = pa.array(texts).cast(pa.large_binary())
-            offsets = np.frombuffer(binary.buffers()[1], dtype="int64")[binary.offset : binary.offset + len(binary) + 1]
-            data = np.frombuffer(binary.buffers()[2] or b"", dtype="uint8") if offsets[-1] else np.zeros(0, "uint8")
+            data, offsets = buffer_of(texts)
             hits = _hits(data)
             # A hash that looks at bytes before the text is no hit: those lie below SHORTEST.
             ids, ends, counts = [], [], []
@@ -155,23 +162,6 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Only ids and digests of dropped rows meet the documents. Of rows equal in id and text
-    the one with the greatest hash of all columns stays.
-    """
-    groups = stored(exact_groups(docs, id, text))
-    per_text = groups.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")
-    )
-    changed = sized(stored(per_text.where("not kept or n > 1")))
-    marked = docs.withColumn("_sha", F.sha2(F.encode(text_of(text), "UTF-8"), 256)).alias("d").join(
-        changed.alias("x"), F.col(f"d.{id}").eqNullSafe(F.col("x.doc_id")) & (F.col("d._sha") == F.col("x.text_sha256")), "left"
-    ).select("d.*", F.col("x.kept").alias("_kept"))
-    single = marked.where("_kept is null").drop("_sha", "_kept")
-    if changed.where("kept").isEmpty():
-        return single
-    from songloom.operators.ordering import first_per_key
-
-    twice = marked.where("_kept").withColumn("_order", F.xxhash64(*docs.columns))
-    return single.unionByName(first_per_key(twice, (id, "_sha"), ("_order",)).select(*docs.columns))
+    """The rows of ``docs`` that stay, with all their columns."""
+    verdicts = exact_groups(docs, id, text).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return keep_marked(docs, stored(verdicts), F.sha2(F.encode(text_of(F.col(f"row.`{text}`")), "UTF-8"), 256), id)
