@@ -11,8 +11,8 @@
    threshold); the rest is confirmed on the full sets, most likely links first, and pairs
    inside a component are not needed any more.
 4. Buckets in which members besides the leader are still in different components are
-   compared in full, by sketch, in blocks of ``BLOCK`` members; only likely links leave a
-   task. They are confirmed in the same way.
+   compared in full, by sketch and then by set, in blocks of ``BLOCK`` members; only links
+   that join components leave a task.
 
 So a link is lost only if it shares no band: below 2e-6 for a pair at the threshold and
 5e-8 at 0.8, whatever the size of its group.
@@ -234,42 +234,61 @@ def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Likely links between the two halves of a block pair, or inside one block."""
+    """Links between the two sides of a block pair, or inside one block.
+
+    Sketches choose which members a member is compared with in full. What a link joins is
+    one component from then on, so no more links come out than the block has members.
+    """
     left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
-    right_bits = np.stack(right["sketch"].to_numpy()).view(np.uint64)
-    right_n, right_label, right_node = (right[c].to_numpy() for c in ("n", "component", "node"))
+    bits = np.stack(right["sketch"].to_numpy()).view(np.uint64)
+    n, node, sets = right["n"].to_numpy(), right["node"].to_numpy(), right["set"].to_numpy()
+    root, own_root = right["component"].to_numpy(copy=True), left["component"].to_numpy(copy=True)
     most = (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - ESTIMATE))) * BITS / 2
-    a, b = [], []
-    for node, n, label, bits in zip(left["node"], left["n"], left["component"], left["sketch"]):
-        fits = (100 * np.minimum(n, right_n) >= PERCENT * np.maximum(n, right_n)) & (right_label != label)
-        fits = np.flatnonzero(fits)
-        differ = np.bitwise_count(right_bits[fits] ^ bits.view(np.uint64)).sum(axis=1)
-        for other in right_node[fits[differ <= most]]:
-            a.append(min(node, other))
-            b.append(max(node, other))
-    return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")}).drop_duplicates()
-
-
-def _open_pairs(banded: DataFrame, leaders: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely links between members that share a bucket, no leader and no component."""
+    links = []
+    for i, (a, size, sketch, own) in enumerate(zip(left["node"], left["n"], left["sketch"], left["set"])):
+        fits = np.flatnonzero((100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)) & (root != own_root[i]))
+        fits = fits[np.bitwise_count(bits[fits] ^ sketch.view(np.uint64)).sum(axis=1) <= most]
+        # Neighbours are compared together, some hundred thousand shingles at a time.
+        for first, last in runs(np.concatenate([[0], np.cumsum(n[fits])]), 1 << 18):
+            some = fits[first:last]
+            # Sets are sorted as unsigned numbers.
+            own, all_ = own.view(np.uint64), np.concatenate(sets[some]).view(np.uint64)
+            place = np.minimum(np.searchsorted(own, all_), len(own) - 1)
+            both = np.add.reduceat((own[place] == all_).astype(np.int64), np.cumsum(n[some]) - n[some])
+            for j in some[100 * both >= PERCENT * (size + n[some] - both)].tolist():
+                if root[j] != own_root[i]:
+                    links.append((min(a, node[j]), max(a, node[j])))
+                    old, new = root[j], own_root[i]
+                    root[root == old] = new
+                    own_root[own_root == old] = new
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _open_links(banded: DataFrame, leaders: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members that share a bucket, no leader and no component."""
     members = (
         banded.alias("m").join(leaders.where("n > 2").alias("l"), "key").where("m.node <> l.leader").select("key", "m.node")
         .alias("m").join(parts.alias("c"), F.expr("m.node = c.node"), "left")
         .select("key", "m.node", F.coalesce("c.component", "m.node").alias("component"))
+        .join(classes.select("node", "n"), "node")
     )
+    # A block holds so many members, and so many shingles, at most (one member's may be more).
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / (BLOCK * 1000))).cast("int")
     split = members.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
-    ).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_members = members.join(split, "key").join(classes.select("node", "n", "sketch"), "node")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
+    ).where("lo <> hi").select("key", blocks.alias("blocks"))
+    members = stored(members.join(split, "key"))
+    sets = _sets_of(members.select("node").distinct(), classes, docs)
     # Block i meets every block: as the left side with later ones, as the right with earlier.
-    placed = open_members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = meets.select(
         "key", F.least("i", "j").alias("left"), F.greatest("i", "j").alias("right"),
         F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"),
-        "node", "n", "component", "sketch",
+        "node", "n", "component",
     )
-    return sided.groupBy("key", "left", "right").applyInPandas(_compare_block, "a long, b long").distinct()
+    full = sided.join(classes.select("node", "sketch"), "node").join(sets, "node")
+    return full.groupBy("key", "left", "right").applyInPandas(_compare_block, "a long, b long").distinct()
 
 
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,11 +328,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     if not second.isEmpty():
         links = links.unionByName(stored(_confirmed(second, sets)))
         parts = connect(links)
-    third = _open_pairs(banded, leaders, parts, classes)
-    third = stored(third.join(likely, ["a", "b"], "left_anti"))
+    third = stored(_open_links(banded, leaders, parts, classes, plain))
     if not third.isEmpty():
-        nodes = third.select(F.col("a").alias("node")).union(third.select("b")).distinct()
-        links = links.unionByName(stored(_confirmed(third, _sets_of(nodes, classes, plain))))
+        links = links.unionByName(third)
         parts = connect(links)
 
     named = classes.select("node", "n", "f", "g", "least").alias("c").join(parts.alias("p"), F.expr("c.node = p.node"), "left")
