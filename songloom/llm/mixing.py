@@ -13,7 +13,7 @@ where lambda(source) minimises the convex dual
 Newton's method runs for all sources at once, on counts of documents per source and size:
 one combined aggregation per step, kept between brackets so that it can't diverge. The
 rates are then rounded to whole copies, so that the words taken per source come within
-about one short document of the target.
+about one short document of the target, as far as rates of 0 and 3 leave room.
 
 What grows with the corpus (documents) is touched three times: counting words, counting
 documents per (source, size), and dealing out copies. All other tables have one row per
