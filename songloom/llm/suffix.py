@@ -116,7 +116,7 @@ def sorted_suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     keys = np.zeros(n, np.uint64)
     for i in range(8):
         keys = (keys << U(8)) | padded[i : n + i]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     # A suffix's rank is the first place of those equal to it so far.
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -130,12 +130,12 @@ def sorted_suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         if not len(open_places):
             break
         those = order[open_places]
-        second = rank[np.minimum(those + done, n)]
-        inner = np.lexsort((second, rank[those]))
-        those, second = those[inner], second[inner]
+        # Both ranks in one number; a suffix that ends before ``done`` bytes comes first.
+        pair = (rank[those].astype(np.uint64) << U(32)) | (rank[np.minimum(those + done, n)] + 1).astype(np.uint64)
+        inner = np.argsort(pair)
+        those, pair = those[inner], pair[inner]
         order[open_places] = those
-        first = rank[those]
-        fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
         new[open_places] |= fresh
         rank[those] = open_places[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         done *= 2
@@ -153,23 +153,30 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     as one of value v lies between the rows that they extend, so each round extends what the
     last one found, and nothing after round ``length - 1``.
     """
-    n = len(data)
     order, rank = sorted_suffixes(data, length)
     after = np.append(rank, -1)[order + 1]
     byte = data[order]
     boundary = np.concatenate([[True], byte[1:] != byte[:-1]])
-    still = np.flatnonzero(~boundary)
-    left, right = after[still - 1], after[still]
+    # Mostly rows q - 1 and q extend neighbours p - 1 and p; then q is looked up from p.
+    neighbours = np.concatenate([[False], after[1:] == after[:-1] + 1]) & ~boundary
+    before = np.full(len(data), -1)
+    rows = np.flatnonzero(neighbours)
+    before[after[rows]] = rows
+    wide = np.flatnonzero(~neighbours & ~boundary)
+    left, right = after[wide - 1], after[wide]
+    new = np.flatnonzero(boundary)
     for _ in range(length - 1):
+        direct = before[new]
+        direct = direct[direct >= 0]
         # The end of the data, row -1, comes before all rows.
-        before = np.cumsum(boundary, dtype=np.int32)
-        reached = (before[right] > np.where(left < 0, 0, before[left])) | (left < 0)
-        if not reached.any():
-            break
-        boundary[still[reached]] = True
-        still, left, right = still[~reached], left[~reached], right[~reached]
-        if not len(still):
+        reached = np.searchsorted(new, right, "right") > np.searchsorted(new, left, "right")
+        found = np.concatenate([direct[~boundary[direct]], wide[reached]])
+        if not len(found):
             break
+        boundary[found] = True
+        wide, left, right = wide[~reached], left[~reached], right[~reached]
+        new = np.sort(found)
+    still = np.flatnonzero(~boundary)
     return np.unique(np.concatenate([order[still], order[still - 1]]))
 
 
@@ -329,7 +336,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places = counted.groupBy("one.doc_id", "one.hash").agg(
         F.collect_list(F.struct("h", "n", "one.s", "one.w", "one.p")).alias("places")
     )
-    places = sized(stored(places), 50_000)
     at = lambda x: F.substring(F.encode(F.col("d._text"), "UTF-8"), x["s"] + 1, x["w"] - 1 + length)
     fetched = (
         docs.withColumn("hash", F.xxhash64("_text")).alias("d")
