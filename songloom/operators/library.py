@@ -21,7 +21,7 @@ def with_artist(songs: DataFrame, source: str) -> DataFrame:
         return songs.withColumn("primary_artist", first_artist(F.col("artists")))
     if source == PLAYS_SOURCE:
         return songs.withColumn("primary_artist", F.coalesce("artist", F.lit("")))
-    raise ValueError(f"Unknown source: {source}")
+    raise ValueError(f"songs come from {LIKED_SOURCE} or {PLAYS_SOURCE}, not {source}")
 
 
 def with_key(songs: DataFrame, source: str) -> DataFrame:

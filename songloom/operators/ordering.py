@@ -41,6 +41,11 @@ def checked_limit(limit: int | None) -> int | None:
     return limit or None
 
 
+def _placed(order: str) -> Column:
+    """The order column; a row without a place is an error, for any number of rows asked for."""
+    return F.coalesce(F.col(order), F.raise_error(F.lit(f"a row has no {order}")).cast("bigint"))
+
+
 def first_n(df: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` rows by ``seq``.
 
@@ -51,7 +56,7 @@ def first_n(df: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return df
     if limit <= SHORT_PREFIX:
-        return df.orderBy("seq").limit(limit)
+        return df.orderBy(_placed("seq")).limit(limit)
     return number_rows(df).where(F.col("number") <= limit).drop("number")
 
 
@@ -62,7 +67,7 @@ def number_rows(df: DataFrame, order: str = "seq") -> DataFrame:
     each group its offset. As every level joins 2**16 values, no task sorts more than
     65536 rows as one window, however the values are spread.
     """
-    grouped = df.withColumn("_group", F.shiftright(order, GROUP_BITS))
+    grouped = df.withColumn("_group", F.shiftright(_placed(order), GROUP_BITS))
     counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
     inside = F.row_number().over(Window.partitionBy("_group").orderBy(order))
     return (

@@ -1,33 +1,37 @@
 """Exact cosine top-k of query vectors against an index.
 
-Every query is compared with every vector of its model; nothing is left out. Scores are
-ranked at nine decimals, ties by id, so both ways of computing agree.
+Every query is compared with every vector of its model. Scores are ranked at nine decimals,
+ties by id. A vector that is NULL, has a NULL or no finite length, or another number of
+values than most queries of its model has no direction to compare: as a query it finds
+nothing, in the index it is not found (``left_out`` counts such rows). A zero vector scores 0.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window, functions as F
-
-from songloom.functions.vectors import cosine, dot
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 SCORE_DIGITS = 9
 # Query vectors sent to every task at once. More queries take more passes over the index.
 BLOCK_BYTES = 16 << 20
 # Scores held at once by a task.
 SCORE_CELLS = 4 << 20
-# Up to this many queries need no matrix product.
-FEW_QUERIES = 4
+# Above this Spark does not cut to k rows per query before a shuffle; a level in between does.
+OWN_CUT = 1_000
+LEVEL_PARTS = 64
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     # Spark keeps k rows per query in each task before the shuffle (WindowGroupLimit).
+    if k > OWN_CUT:
+        part = F.pmod(F.xxhash64("id"), F.lit(LEVEL_PARTS))
+        parts = Window.partitionBy("query_id", part).orderBy(F.desc("score"), F.asc("id"))
+        scored = scored.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
@@ -35,60 +39,55 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def query_sizes(queries: DataFrame) -> list[Row]:
     """``model, n, dim``: how many query vectors of which length there are."""
-    n, dim = F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")
-    return queries.groupBy("model").agg(n, dim).collect()
+    n, dim = F.count(F.lit(1)).alias("n"), F.mode(F.size("embedding"), True).alias("dim")
+    return queries.where(_has_direction()).groupBy("model").agg(n, dim).collect()
+
+
+def _has_direction() -> Column:
+    finite = F.col("norm") < float("inf")
+    return F.col("embedding").isNotNull() & F.coalesce(finite & ~F.isnan("norm"), F.lit(False))
+
+
+def comparable(vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """The vectors of a model that can be compared."""
+    return vectors.where((F.col("model") == model) & _has_direction() & (F.size("embedding") == dim))
+
+
+def left_out(vectors: DataFrame, model: str, dim: int) -> int:
+    """How many vectors of a model can't be compared."""
+    return vectors.where(F.col("model") == model).count() - comparable(vectors, model, dim).count()
 
 
 def top_k(
     queries: DataFrame,
     index: DataFrame,
     k: int,
-    few: int = FEW_QUERIES,
     block_bytes: int = BLOCK_BYTES,
     sizes: list[Row] | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the best ``k`` per query.
 
-    The queries are counted first, unless ``sizes`` says it. A few are compared in column expressions. More of them
-    are cut into blocks of checked size; each block is broadcast, takes one pass over the
-    index and one matrix product per Arrow batch. Only ids and vectors take part.
+    The queries are counted first, unless ``sizes`` says it, and cut into blocks of checked
+    size; each block is broadcast, takes one pass over the index and one matrix product per
+    Arrow batch. Only ids and vectors take part.
     """
     if sizes is None:
         sizes = query_sizes(queries)
-    if sum(row.n for row in sizes) <= few:
-        return _ranked(_few_scores(queries, index), k)
     scored = [
-        _block_scores(block, index, row.model, k)
+        _block_scores(block, index, row.model, row.dim, k)
         for row in sizes
-        for block in _blocks(queries, row.model, row.n, max(1, block_bytes // (8 * row.dim)))
+        # A block's size counts the hits that a task holds for it, too.
+        for block in _blocks(queries, row.model, row.dim, row.n, max(1, block_bytes // (8 * row.dim + 64 * min(k, OWN_CUT) + 1)))
     ]
+    if not scored:
+        none = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
+        return _ranked(index.where("false").select(none, "id", F.lit(0.0).alias("score")), k)
     return _ranked(reduce(DataFrame.unionByName, scored), k)
 
 
-def _few_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Scores of a counted few queries: their vectors become literals, nothing is joined."""
-    id_type = queries.schema["query_id"].dataType
-    by_model = defaultdict(list)
-    for row in queries.select("query_id", "model", "embedding", "norm").collect():
-        score = F.round(
-            cosine(dot(F.col("embedding"), F.lit(row.embedding)), F.col("norm"), F.lit(row.norm)),
-            SCORE_DIGITS,
-        )
-        query_id = F.lit(row.query_id).cast(id_type).alias("query_id")
-        by_model[row.model].append(F.struct(query_id, score.alias("score")))
-    if not by_model:
-        none = F.lit(None).cast(id_type).alias("query_id")
-        return index.where("false").select(none, "id", F.lit(0.0).alias("score"))
-    parts = [
-        index.where(F.col("model") == model).select("id", F.inline(F.array(*scores)))
-        for model, scores in by_model.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _blocks(queries: DataFrame, model: str, n: int, rows: int) -> Iterator[DataFrame]:
+def _blocks(queries: DataFrame, model: str, dim: int, n: int, rows: int) -> Iterator[DataFrame]:
     """The queries of a model in parts of about half of ``rows``."""
-    mine = queries.where(F.col("model") == model).select("query_id", "embedding", "norm")
+    mine = comparable(queries, model, dim).select("query_id", "embedding", "norm")
     if n <= rows:
         yield mine
         return
@@ -98,7 +97,7 @@ def _blocks(queries: DataFrame, model: str, n: int, rows: int) -> Iterator[DataF
         yield mine.where(part == i)
 
 
-def _block_scores(block: DataFrame, index: DataFrame, model: str, k: int) -> DataFrame:
+def _block_scores(block: DataFrame, index: DataFrame, model: str, dim: int, k: int) -> DataFrame:
     table = block.toArrow()
     spark = index.sparkSession
     types = {f.name: f.dataType.simpleString() for f in block.schema.fields}
@@ -124,7 +123,7 @@ def _block_scores(block: DataFrame, index: DataFrame, model: str, k: int) -> Dat
                 names=["query_id", "id", "score"],
             )
 
-    narrow = index.where(F.col("model") == model).select("id", "embedding", "norm")
+    narrow = comparable(index, model, dim).select("id", "embedding", "norm")
     schema = f"query_id {types['query_id']}, id {id_type}, score double"
     return narrow.mapInArrow(best_of_task, schema)
 

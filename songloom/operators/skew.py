@@ -10,27 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 1_000_000
-# The list of hot keys is broadcast, so it has a fixed size. A key beyond the hottest
-# 4096 holds less than 1/4096 of all rows; it stays in one task and is joined all the same.
-MAX_HOT_KEYS = 4096
-# Copies made of one row of the table at most.
-MAX_SALTS = 4096
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The hottest keys of ``rows`` and how many tasks each is spread over.
+    """Every key above ``hot_rows`` and how many tasks it is spread over.
 
     Counting reads the key columns only and is combined before the shuffle.
     """
     return (
         rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *on,
-            F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
-        )
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
 
 
@@ -60,12 +50,16 @@ def join_unique(
     """
     on = list(on)
     if hot_rows is not None:
-        hot = F.broadcast(hot_keys(rows, on, hot_rows))
-        salted = rows.alias("r").join(hot.alias("h"), _match("r", "h", on, null_safe), "left")
+        # One hash and one count per hot key: 12 bytes for each ``hot_rows`` rows at most,
+        # whatever the keys are. A clash of hashes spreads one key more, alike on both sides.
+        hot = hot_keys(rows, on, hot_rows).groupBy(F.xxhash64(*on).alias("_h")).agg(F.max("_salts").alias("_salts"))
+        hot = F.broadcast(hot)
+        same = lambda side: F.xxhash64(*[F.col(f"{side}.{c}") for c in on]) == F.col("h._h")
+        salted = rows.alias("r").join(hot.alias("h"), same("r"), "left")
         salt = F.coalesce(F.pmod(F.xxhash64(F.col(f"r.{spread}")), F.col("h._salts")), F.lit(0))
         rows = salted.select("r.*", salt.cast("int").alias("_salt"))
 
-        copied = table.alias("t").join(hot.alias("h"), _match("t", "h", on, null_safe), "left")
+        copied = table.alias("t").join(hot.alias("h"), same("t"), "left")
         last = F.coalesce(F.col("h._salts"), F.lit(1)) - 1
         table = copied.select("t.*", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
         on = [*on, "_salt"]

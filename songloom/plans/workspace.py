@@ -31,13 +31,20 @@ from songloom.operators.ordering import first_n, last_per_key
 from songloom.operators.stats import cache_stats, index_run_stats, store_info, status_report
 from songloom.operators.upsert import upsert
 from songloom.plans import index as indexing
-from songloom.sources.landed import normalize_liked, normalize_lyrics, normalize_plays
+from songloom.sources.landed import (
+    normalize_liked,
+    normalize_lyrics,
+    normalize_plays,
+    rejected_liked,
+    rejected_plays,
+)
 from songloom.sources.tables import TableStore
 
 # What a load or a library can be asked for.
 LOAD_SOURCES = (LIKED_SOURCE, PLAYS_SOURCE, "all")
 
 RAW_PLAYS, LYRICS, CACHE, INDEX = "raw_plays", "lyrics", "lyrics_cache", "index"
+REJECTED = "rejected_pages"
 
 
 class NothingStored(LookupError):
@@ -56,15 +63,21 @@ class Workspace:
     def load(
         self, source: str, liked_pages: DataFrame | None = None, play_pages: DataFrame | None = None
     ) -> dict[str, Row]:
-        """Store landed pages. Plays are kept raw and as unique songs."""
+        """Store landed pages. Plays are kept raw and as unique songs.
+
+        Pages that can't be read are stored with the reason and counted in the result.
+        """
         if source not in LOAD_SOURCES:
-            raise ValueError(f"Unknown source: {source}")
+            raise ValueError(f"can load {', '.join(LOAD_SOURCES)}, not {source}")
         stored = {}
         if source in (LIKED_SOURCE, "all"):
-            stored[LIKED_SOURCE] = self.save_liked(normalize_liked(_given(liked_pages, LIKED_SOURCE)))
+            pages = _given(liked_pages, LIKED_SOURCE)
+            stored[LIKED_SOURCE] = self.save_liked(normalize_liked(pages))
+            stored[f"{REJECTED} {LIKED_SOURCE}"] = self.tables.publish(rejected_liked(pages), REJECTED, LIKED_SOURCE)
         if source in (PLAYS_SOURCE, "all"):
-            plays = normalize_plays(_given(play_pages, PLAYS_SOURCE))
-            stored[RAW_PLAYS] = self.tables.publish(plays, RAW_PLAYS)
+            pages = _given(play_pages, PLAYS_SOURCE)
+            stored[RAW_PLAYS] = self.tables.publish(normalize_plays(pages), RAW_PLAYS)
+            stored[f"{REJECTED} {PLAYS_SOURCE}"] = self.tables.publish(rejected_plays(pages), REJECTED, PLAYS_SOURCE)
             stored[PLAYS_SOURCE] = self.save_plays(self.raw_plays())
         return stored
 
@@ -77,10 +90,23 @@ class Workspace:
         return self.tables.publish(unique_plays(plays).select(*columns), PLAYS_SOURCE)
 
     def load_lyrics(self, records: DataFrame) -> Row:
-        """Store landed lyric records, one row per record id."""
+        """Store landed lyric records, one row per record id.
+
+        A record without an id gets one from its content, above all ids of the service.
+        """
         lyrics = normalize_lyrics(records)
-        lowest = ("name", "artist", "album", "duration")
-        return self.tables.publish(last_per_key(lyrics, ("id",), lowest), LYRICS)
+        columns = [c for c in lyrics.columns if c != "id"]
+        own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(*columns), 2)
+        known = lyrics.withColumn("id", F.coalesce("id", own))
+        return self.tables.publish(last_per_key(known, ("id",), columns), LYRICS)
+
+    def rejected_pages(self) -> DataFrame:
+        """Pages of the last load of each source that could not be read."""
+        return self.tables.read_parts(REJECTED, schemas.REJECTED)
+
+    def vacuum(self) -> int:
+        """Delete what failed writes and replaced snapshots left behind."""
+        return self.tables.vacuum()
 
     # library ------------------------------------------------------------------------
 
@@ -93,7 +119,7 @@ class Workspace:
     def effective_source(self, source: str = "auto") -> str:
         """What a library source comes to, given what is stored."""
         if source not in ("auto", "both", LIKED_SOURCE, PLAYS_SOURCE):
-            raise ValueError(f"Unknown source: {source}")
+            raise ValueError(f"no such library: {source}")
         stored = self.stored_sources()
         if not stored or (source in (LIKED_SOURCE, PLAYS_SOURCE) and source not in stored):
             raise NothingStored(f"no songs stored for {source}")
@@ -178,8 +204,8 @@ class Workspace:
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         """Store an intermediate result of a run, so that it is computed once."""
-        self.tables.publish(df, f"run_{name}")
-        return self.spark.read.schema(df.schema).parquet(*self.tables.entry(f"run_{name}").paths)
+        stored = self.tables.publish(df, f"run_{name}")
+        return self.spark.read.schema(df.schema).parquet(*stored.paths)
 
     def clear_cache(self) -> int:
         return self.tables.clear(CACHE, schemas.CACHE)

@@ -588,13 +588,13 @@ def _six_digits(hits: DataFrame) -> DataFrame:
 @query(_VECTOR_SQL)
 def vector_topk(spark, sf_dir):
     index = _stored_vectors(spark, sf_dir)
-    return _six_digits(top_k(_label_queries(index), index, 10, few=1000))
+    return _six_digits(top_k(_label_queries(index), index, 10))
 
 
 @query(_VECTOR_SQL)
 def vector_topk_batch(spark, sf_dir):
     index = _stored_vectors(spark, sf_dir)
-    return _six_digits(top_k(_label_queries(index), index, 10, few=0))
+    return _six_digits(top_k(_label_queries(index), index, 10, block_bytes=1 << 14))
 
 
 @query("WITH " + hashed("d", "doc_id", "documents") + "," + hashed("q", "item_id", "benchmark")
@@ -605,7 +605,7 @@ def text_topk_batch(spark, sf_dir):
     asked = proxies.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     index = encode(texts, ENCODER, "text").drop("text")
     queries = indexing.query_vectors(asked, ENCODER)
-    return _six_digits(top_k(queries, index, 10, few=0))
+    return _six_digits(top_k(queries, index, 10))
 
 
 _TEXT_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(SEARCH_TEXTS))
@@ -742,6 +742,21 @@ def normalize_liked(spark, sf_dir):
     )
 
 
+@query("""
+  SELECT DISTINCT p_partkey // 50 AS page,
+    CASE p_partkey // 50 % 3 WHEN 0 THEN 'no list of songs' ELSE 'error 29' END AS reason
+  FROM part WHERE p_partkey // 50 % 3 < 2""")
+def rejected_pages(spark, sf_dir):
+    """A third of the pages cut short, a third replaced by an error, a third sound."""
+    third = F.col("page") % 3
+    body = (
+        F.when(third == 0, F.substring("body", 1, 40)).when(third == 1, '{"error": 29, "message": "limit"}')
+        .otherwise(F.col("body"))
+    )
+    pages = _liked_pages(proxies.table(spark, sf_dir, "part")).withColumn("body", body)
+    return landed.rejected_liked(pages).select("page", "reason")
+
+
 def _liked_pages(parts: DataFrame) -> DataFrame:
     """Parts as pages of 50 saved tracks."""
     url = F.when(F.col("p_size") > 25, F.concat(F.lit("part/"), F.col("p_partkey").cast("string")))

@@ -7,6 +7,9 @@ it, because Spark rows have no order of their own.
 # Landed pages: page number and the service response as JSON text.
 PAGE = "page bigint, body string"
 
+# Pages that could not be read.
+REJECTED = "page bigint, body string, reason string"
+
 # Bodies of the two song services.
 LIKED_BODY = (
     "items array<struct<added_at:string, track:struct<"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,15 +38,23 @@ def local_session(app: str = "songloom", cores: int | str = "*", **extra: str) -
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_dir() -> str:
+    """A folder of this process, for local sessions only; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="songloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a local session may go without that
-    setting; it then gets a temporary folder.
+    It lies under ``spark.checkpoint.dir``. Only a local session, whose tasks run in this
+    very process, may go without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        return tempfile.mkdtemp(prefix="songloom-")
+        base = _own_dir()
     return os.path.join(base, f"songloom-{uuid.uuid4().hex}")

@@ -33,12 +33,43 @@ def _seq() -> Column:
     return (F.shiftleft("page", PLACE_BITS) + F.col("pos")).alias("seq")
 
 
+def _liked_items() -> Column:
+    return F.from_json("body", schemas.LIKED_BODY)["items"]
+
+
+def _plays_tracks() -> Column:
+    """The service sends a lone track as an object.
+
+    ``track`` is therefore taken as text and parsed as an array, which accepts both.
+    """
+    return F.from_json(F.from_json("body", schemas.PLAYS_BODY)["recenttracks"]["track"], schemas.PLAYS_TRACKS)
+
+
+def _refused(pages: DataFrame, songs: Column) -> DataFrame:
+    error = F.get_json_object("body", "$.error")
+    reason = (
+        F.when(F.col("page").isNull(), "no page number")
+        .when(error.isNotNull(), F.concat(F.lit("error "), error))
+        .when(songs.isNull(), "no list of songs")
+    )
+    return pages.select("page", "body", reason.alias("reason")).where("reason is not null")
+
+
+def rejected_liked(pages: DataFrame) -> DataFrame:
+    """Saved-track pages that ``normalize_liked`` can't read, and why: ``page, body, reason``."""
+    return _refused(pages, _liked_items())
+
+
+def rejected_plays(pages: DataFrame) -> DataFrame:
+    """Play-history pages that ``normalize_plays`` can't read, and why."""
+    return _refused(pages, _plays_tracks())
+
+
 def normalize_liked(pages: DataFrame) -> DataFrame:
-    """Saved-track pages -> one row per liked song."""
-    body = F.from_json("body", schemas.LIKED_BODY)
+    """Saved-track pages -> one row per liked song. A page without a number is not read."""
     track = F.col("item.track")
     return (
-        pages.select("page", body["items"].alias("items"))
+        pages.where("page is not null").select("page", _liked_items().alias("items"))
         .select("page", F.posexplode("items").alias("pos", "item"))
         .where(track.isNotNull())
         .select(
@@ -56,19 +87,12 @@ def normalize_liked(pages: DataFrame) -> DataFrame:
 
 
 def normalize_plays(pages: DataFrame) -> DataFrame:
-    """Play-history pages -> one row per play.
-
-    The service sends a lone track as an object. ``track`` is therefore taken as text
-    and parsed as an array, which accepts both.
-    """
-    body = F.from_json("body", schemas.PLAYS_BODY)
-    tracks = F.from_json(F.col("response")["track"], schemas.PLAYS_TRACKS)
+    """Play-history pages -> one row per play. A page without a number is not read."""
     playing = F.coalesce(F.col("t.`@attr`.nowplaying") == "true", F.lit(False))
     stamp = F.when(~playing, F.col("t.date.uts"))
     empty = F.lit("")
     return (
-        pages.select("page", body["recenttracks"].alias("response"))
-        .select("page", F.posexplode(tracks).alias("pos", "t"))
+        pages.where("page is not null").select("page", F.posexplode(_plays_tracks()).alias("pos", "t"))
         .where(F.col("t").isNotNull())
         .select(
             _seq(),

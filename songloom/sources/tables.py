@@ -8,6 +8,7 @@ before it or, where only new rows come in, adds one to them. One writer per tabl
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -69,7 +70,8 @@ class TableStore:
         last = self.entry(name, part)
         snapshot = 1 if last is None else last.snapshot + 1
         folder = f"{self.root}/{name}" + (f"/part={part}" if part else "")
-        path = f"{folder}/snapshot={snapshot:08d}"
+        # A folder per attempt: what a failed write leaves behind is in no one's way.
+        path = f"{folder}/snapshot={snapshot:08d}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         # The count comes from the Parquet footers of what was really written.
         n = self.spark.read.schema(df.schema).parquet(path).count()
@@ -89,6 +91,24 @@ class TableStore:
         commit.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
         return self.entry(name, part)
 
+    def vacuum(self) -> int:
+        """Delete the folders that no current snapshot names; returns how many went.
+
+        Readers of older snapshots, and a write under way, must have ended.
+        """
+        named = {path for row in self.current().collect() for path in row.paths}
+        jvm = self.spark._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        kept = {files.makeQualified(jvm.org.apache.hadoop.fs.Path(path)).toString() for path in named}
+        gone = 0
+        for pattern in ("*/snapshot=*", "*/part=*/snapshot=*"):
+            for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(base, pattern)) or []:
+                if found.getPath().toString() not in kept:
+                    files.delete(found.getPath(), True)
+                    gone += 1
+        return gone
+
     def compact(self, name: str, schema: str, part: str = "") -> Row:
         """Write the folders of a table as one."""
         return self.publish(self.read(name, schema, part), name, part)

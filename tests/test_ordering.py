@@ -40,6 +40,14 @@ def test_first_n(plays, rows, monkeypatch):
         first_n(plays, -1)
 
 
+@pytest.mark.parametrize("limit", [999, 1000, 1001])
+def test_a_row_without_a_place_is_an_error_for_any_limit(spark, limit):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "seq bigint")
+    with pytest.raises(Exception, match="a row has no seq"):
+        first_n(df, limit).collect()
+    assert first_n(df.where("seq is not null"), limit).count() == 2
+
+
 def test_numbers_are_dense_for_any_spread(spark):
     seqs = [-5, 0, 3, 65535, 65536, 90_000, 1 << 32, (1 << 32) + 1, 5 << 47, 1 << 62, (1 << 62) + 7]
     df = spark.createDataFrame([(s,) for s in reversed(seqs)], "seq bigint").repartition(3)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from songloom.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -25,16 +26,18 @@ def oracle():
     return con
 
 
-def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= driver.queries().items()
+    assert ORACLES.items() <= driver.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, oracle, name):
-    df = driver.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(row[c] for c in columns) for row in df.collect()), key=repr)
-    result = oracle.execute(driver.oracle_sql()[name])
+    result = oracle.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
@@ -42,14 +45,14 @@ def test_query_equals_sql(spark, oracle, name):
     assert got == expect
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_everything(spark, name):
-    plan = driver.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_scans_read_only_what_they_need(spark):
-    plan = driver.queries()["uncached_songs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["uncached_songs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for column in ("text", "p_retailprice", "quality"):
         assert f"{column}:" not in plan
 

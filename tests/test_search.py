@@ -85,22 +85,46 @@ def brute(data, queries, k):
 
 
 @pytest.mark.parametrize("k", [1, 7, 500])
-def test_both_ways_equal_brute_force(spark, k, monkeypatch):
+def test_any_blocks_equal_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(similarity, "SCORE_CELLS", 100)
     data, index = vectors(spark)
     asked = [0, 7, 10, 200, 250]
     queries = index.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id")
     expect = sorted(brute(data, asked, k))
-    for hits in (top_k(queries, index, k, few=5), top_k(queries, index, k), top_k(queries, index, k, block_bytes=128)):
+    for hits in (top_k(queries, index, k), top_k(queries, index, k, block_bytes=128)):
         got = sorted(tuple(r) for r in hits.collect())
         assert [g[:3] for g in got] == [e[:3] for e in expect]
         assert np.allclose([g[3] for g in got], [e[3] for e in expect], atol=1e-9)
 
 
+def test_vectors_without_direction_are_not_found(spark):
+    """One query or ten, a NaN, infinite, NULL or shorter vector changes nothing."""
+    nan, inf = float("nan"), float("inf")
+    bad = [(900, [nan] * 8), (901, [inf] + [0.0] * 7), (902, None), (903, [1.0] * 5), (904, [None] + [1.0] * 7), (905, [0.0] * 8)]
+    odd = spark.createDataFrame(bad, "id bigint, embedding array<float>").select(
+        "id", F.lit("m").alias("model"), "embedding", norm(F.col("embedding")).alias("norm"))
+    data, index = vectors(spark)
+    both = index.unionByName(odd)
+    for asked in ([7], [0, 7, 10, 20, 30, 110, 120, 200, 250, 299]):
+        queries = index.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id")
+        clean = sorted(map(tuple, top_k(queries, index, 60).collect()))
+        found = sorted(map(tuple, top_k(queries.unionByName(odd.where("id < 905").withColumnRenamed("id", "query_id")), both, 60).collect()))
+        assert found == clean
+    assert similarity.left_out(both, "m", 8) == 5
+
+
+def test_deep_results_are_cut_in_two_levels(spark, monkeypatch):
+    _, index = vectors(spark)
+    queries = index.where("id in (7, 200)").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, top_k(queries, index, 50).collect()))
+    monkeypatch.setattr(similarity, "OWN_CUT", 10)
+    assert sorted(map(tuple, top_k(queries, index, 50).collect())) == want
+
+
 def test_models_do_not_meet(spark):
     _, index = vectors(spark, 20)
     queries = index.withColumnRenamed("id", "query_id").withColumn("model", F.lit("other"))
-    assert top_k(queries, index, 3, few=20).count() == top_k(queries, index, 3).count() == 0
+    assert top_k(queries, index, 3).count() == 0
     assert top_k(queries.where("false"), index, 3).count() == 0
 
 

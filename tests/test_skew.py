@@ -46,3 +46,11 @@ def test_hot_rows_are_spread(spark):
         F.pmod(F.xxhash64("seq"), F.col("_salts"))
     )
     assert salts.distinct().count() == 8
+
+
+def test_every_hot_key_is_listed(spark, rows):
+    many = spark.range(12_000).selectExpr("id as seq", "concat('k', id % 6000) as key")
+    assert hot_keys(many, ["key"], 1).count() == 6000
+    table = spark.range(6000).selectExpr("concat('k', id) as key", "id as v")
+    got = join_unique(many, table, hot_rows=1)
+    assert got.count() == 12_000 and got.where("v is null or concat('k', v) <> key").count() == 0

@@ -7,7 +7,6 @@ from songloom.operators.library import both_sources, unique_plays, with_artist
 from songloom.session import shared_dir
 from songloom.sources import landed, stored_json
 from songloom.sources.tables import TableStore
-from songloom.streaming.landing import land_plays
 
 
 def pages(spark, *bodies):
@@ -150,7 +149,7 @@ def test_sources_and_union(spark, rows):
         "seq bigint, name string, artist string, album string, now_playing boolean",
     )
     assert rows(with_artist(liked, "spotify"), "primary_artist") == [("",), ("Ann",)]
-    with pytest.raises(ValueError, match="Unknown source: tape"):
+    with pytest.raises(ValueError, match="not tape"):
         with_artist(liked, "tape")
     unique = unique_plays(plays)
     assert rows(unique, "seq", "name") == [(0, "rain "), (1, "Moon")]
@@ -162,15 +161,34 @@ def test_sources_and_union(spark, rows):
     assert order == ["Rain", "Sun", "Moon"]
 
 
-def test_pages_are_landed_once(spark, rows, tmp_path):
-    source, target, state = (str(tmp_path / n) for n in ("pages", "plays", "state"))
-    (tmp_path / "pages").mkdir()
-    write = lambda page, name: (tmp_path / "pages" / f"{page}.json").write_text(
-        json.dumps({"page": page, "body": plays_page(play(name))}) + "\n")
-    write(1, "a")
-    land_plays(spark, source, target, state).awaitTermination()
-    write(2, "b")
-    for _ in range(2):
-        land_plays(spark, source, target, state).awaitTermination()
-    landed_rows = spark.read.schema(schemas.PLAYS).parquet(target)
-    assert rows(landed_rows, "seq", "name") == [(1 << 32, "a"), (2 << 32, "b")]
+def test_pages_that_cannot_be_read_are_named(spark, rows):
+    sound = json.dumps({"items": [saved("1")]})
+    given = [(1, sound), (2, sound[:30]), (3, '{"error": {"status": 429}}'), (None, sound), (5, None), (6, '{"items": []}')]
+    df = spark.createDataFrame(given, schemas.PAGE)
+    assert rows(landed.rejected_liked(df), "page", "reason") == sorted([
+        (2, "no list of songs"), (3, 'error {"status":429}'), (None, "no page number"), (5, "no list of songs"),
+    ], key=repr)
+    assert rows(landed.normalize_liked(df), "seq", "id") == [(1 << 32, "1")]
+    lone = json.dumps(plays_page(play("a")))
+    df = spark.createDataFrame([(1, lone), (2, lone[:-3]), (3, '{"error": 6}'), (None, lone)], schemas.PAGE)
+    assert rows(landed.rejected_plays(df), "page", "reason") == sorted([
+        (2, "no list of songs"), (3, "error 6"), (None, "no page number"),
+    ], key=repr)
+    assert landed.normalize_plays(df).count() == 1
+
+
+def test_a_failed_write_blocks_nothing(spark, rows, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    one = spark.createDataFrame([(1,)], "a int")
+    store.publish(one, "t")
+    with pytest.raises(Exception, match="broken"):
+        store.publish(one.selectExpr("if(a = 1, raise_error('broken'), a) as a"), "t")
+    assert rows(store.read("t", "a int")) == [(1,)]
+    store.publish(spark.createDataFrame([(2,)], "a int"), "t")
+    store.publish(spark.createDataFrame([(3,)], "a int"), "t", append=True)
+    store.publish(one, "u", "p")
+    folders = lambda: len(list((tmp_path / "t").glob("snapshot=*")))
+    before = folders()
+    assert before >= 3 and store.vacuum() == before - 2 and folders() == 2
+    assert rows(store.read("t", "a int")) == [(2,), (3,)] and rows(store.read("u", "a int", "p")) == [(1,)]
+    assert store.vacuum() == 0

@@ -90,8 +90,17 @@ def test_everything_in_turn(spark, music, rows):
     assert music.clear_cache() == 3 and music.cache().count() == 0
 
 
+def test_records_without_an_id_are_kept(spark, music):
+    row = lambda i, text: (i, "Sun", None, "Cy", "", 9.0, False, text, None)
+    records = spark.createDataFrame([row(None, "one"), row(None, "two"), row(None, "two"), row(7, "x"), row(7, "y")], schemas.LYRIC_RECORD)
+    for df in (records, records.orderBy("plainLyrics")):
+        assert music.load_lyrics(df).n == 3
+        kept = {r.plain_lyrics: r.id for r in music.lyrics().collect()}
+        assert set(kept) == {"one", "two", "y"} and min(kept["one"], kept["two"]) > 1 << 61
+
+
 def test_load_checks_its_source(spark, music):
-    with pytest.raises(ValueError, match="Unknown source"):
+    with pytest.raises(ValueError, match="not tape"):
         music.load("tape")
     with pytest.raises(ValueError, match="no pages"):
         music.load("spotify")
