@@ -16,10 +16,12 @@ packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,7 +37,7 @@ OPEN_BINS = 1024
 TASKS_TOGETHER = 64
 END = 0
 # A task remembers the ids of this many units of text, then starts anew.
-UNITS = 400_000
+UNITS = 600_000
 
 # A unit begins at a single space between two other characters. Byte-level tokenizers of
 # this kind never join characters across such a place, so units are encoded on their own.
@@ -43,8 +45,54 @@ _ALONE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r" \s|\s |\A\s|\s\Z")
 
 
+# Fixed value: how byte-level BPE files of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _ranked(path: str):
+    """The file's merges as ranks, which encode short strings faster; None if they are no such."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, letters = spec["model"], _byte_letters()
+    cut = spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in added}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in merges]
+    if any(a >= b for a, b in zip(made, made[1:])) or any(c not in letters for t in vocabulary for c in t):
+        return None
+    import tiktoken
+
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class _Units(dict):
+    """Ids by unit, without the space before it; what is missing is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = self.encode(" " + unit)
+        return found
+
+
 class UnitTokenizer:
-    """Token ids of whole texts, as little-endian 32-bit integers; each unit is encoded once."""
+    """Token ids of whole texts, as little-endian 32-bit integers; each unit is encoded once.
+
+    The ids are those of the ``tokenizers`` library. Units go through the same merges as
+    ranks where the file allows that and samples agree.
+    """
 
     def __init__(self, path: str) -> None:
         # One thread per task; Spark runs the tasks.
@@ -53,28 +101,35 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = _Units(self._one)
+        self.ranked = _ranked(path)
         self.whole = False
-        sample = "On it's 12 pages, he\nsaid — «no» ok."
-        self.whole = self.encode([sample])[0] != self._ids([sample])[0]
+        samples = ["On it's 12 pages, he\nsaid — «no» ok.", "Ärger\t\tüber 3.5%!!", "naïve 東京  \n x"]
+        exact = self._exact(samples)
+        if self.ranked and [array("I", self.ranked(s)).tobytes() for s in samples] != exact:
+            self.ranked = None
+        self.whole = self.encode(samples) != exact
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _exact(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, text: str) -> list[str]:
-        if self.whole or any(s in text for s in self.special):
-            return [text]
-        parts = text.split(" ") if not _OTHER_SPACE.search(text) else _ALONE.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _one(self, text: str) -> bytes:
+        return array("I", self.ranked(text)).tobytes() if self.ranked else self._exact([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        per_text = [self.units(t) for t in texts]
+        if self.whole:
+            return self._exact(texts)
         if len(self.known) > UNITS:
             self.known.clear()
-        new = list(set(chain.from_iterable(per_text)) - self.known.keys())
-        self.known.update(zip(new, self._ids(new)))
-        return [b"".join(map(self.known.__getitem__, units)) for units in per_text]
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                # A text with a special string is left to the library as a whole.
+                out.append(self._exact([text])[0])
+                continue
+            first, *rest = text.split(" ") if not _OTHER_SPACE.search(text) else _ALONE.split(text)
+            out.append(self._one(first) + b"".join(map(self.known.__getitem__, rest)))
+        return out
 
 
 class BestFit:
