@@ -1,9 +1,9 @@
 """Exact cosine top-k of query vectors against an index.
 
 Every query is compared with every vector of its model. Scores are ranked at nine decimals,
-ties by id. A vector that is NULL, has a NULL or no finite length, or another number of
-values than most queries of its model has no direction to compare: as a query it finds
-nothing, in the index it is not found (``left_out`` counts such rows). A zero vector scores 0.
+ties by id. A vector that is NULL, or has a NULL or no finite length, has no direction: as a
+query it finds nothing, in the index it is not found. Vectors with different numbers of
+values do not meet. ``left_out`` counts what is not compared. A zero vector scores 0.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def query_sizes(queries: DataFrame) -> list[Row]:
     """``model, n, dim``: how many query vectors of which length there are."""
-    n, dim = F.count(F.lit(1)).alias("n"), F.mode(F.size("embedding"), True).alias("dim")
-    return queries.where(_has_direction()).groupBy("model").agg(n, dim).collect()
+    dim = F.size("embedding").alias("dim")
+    return queries.where(_has_direction()).groupBy("model", dim).agg(F.count(F.lit(1)).alias("n")).collect()
 
 
 def _has_direction() -> Column:
@@ -49,12 +49,12 @@ def _has_direction() -> Column:
 
 
 def comparable(vectors: DataFrame, model: str, dim: int) -> DataFrame:
-    """The vectors of a model that can be compared."""
+    """The vectors of a model that can be compared with others of ``dim`` values."""
     return vectors.where((F.col("model") == model) & _has_direction() & (F.size("embedding") == dim))
 
 
 def left_out(vectors: DataFrame, model: str, dim: int) -> int:
-    """How many vectors of a model can't be compared."""
+    """How many vectors of a model are not compared with those of ``dim`` values."""
     return vectors.where(F.col("model") == model).count() - comparable(vectors, model, dim).count()
 
 

@@ -65,7 +65,7 @@ class Workspace:
     ) -> dict[str, Row]:
         """Store landed pages. Plays are kept raw and as unique songs.
 
-        Pages that can't be read are stored with the reason and counted in the result.
+        Pages that can't be read are stored with the reason, see ``rejected_pages``.
         """
         if source not in LOAD_SOURCES:
             raise ValueError(f"can load {', '.join(LOAD_SOURCES)}, not {source}")
@@ -73,11 +73,11 @@ class Workspace:
         if source in (LIKED_SOURCE, "all"):
             pages = _given(liked_pages, LIKED_SOURCE)
             stored[LIKED_SOURCE] = self.save_liked(normalize_liked(pages))
-            stored[f"{REJECTED} {LIKED_SOURCE}"] = self.tables.publish(rejected_liked(pages), REJECTED, LIKED_SOURCE)
+            self.tables.publish(rejected_liked(pages), REJECTED, LIKED_SOURCE)
         if source in (PLAYS_SOURCE, "all"):
             pages = _given(play_pages, PLAYS_SOURCE)
             stored[RAW_PLAYS] = self.tables.publish(normalize_plays(pages), RAW_PLAYS)
-            stored[f"{REJECTED} {PLAYS_SOURCE}"] = self.tables.publish(rejected_plays(pages), REJECTED, PLAYS_SOURCE)
+            self.tables.publish(rejected_plays(pages), REJECTED, PLAYS_SOURCE)
             stored[PLAYS_SOURCE] = self.save_plays(self.raw_plays())
         return stored
 

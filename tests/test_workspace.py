@@ -90,6 +90,14 @@ def test_everything_in_turn(spark, music, rows):
     assert music.clear_cache() == 3 and music.cache().count() == 0
 
 
+def test_rejected_pages_are_stored(spark, music):
+    music.load("lastfm", play_pages=pages(spark, plays_page(play("a")), '{"error": 6}', '{"recenttr'))
+    assert sorted((r.page, r.reason) for r in music.rejected_pages().collect()) == [(2, "error 6"), (3, "no list of songs")]
+    assert music.scrobbles().count() == 1
+    music.load("lastfm", play_pages=pages(spark, plays_page(play("a"))))
+    assert music.rejected_pages().count() == 0
+
+
 def test_records_without_an_id_are_kept(spark, music):
     row = lambda i, text: (i, "Sun", None, "Cy", "", 9.0, False, text, None)
     records = spark.createDataFrame([row(None, "one"), row(None, "two"), row(None, "two"), row(7, "x"), row(7, "y")], schemas.LYRIC_RECORD)
