@@ -32,6 +32,7 @@ HEADLINE = (
     "search_results",
     "lyric_keyword_search",
     "listing_plays",
+    "listing_enriched",
     "normalize_liked",
     "normalize_plays",
 )
