@@ -26,15 +26,16 @@ DROPPED = frozenset(
     " menu dialog audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adsense|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|byline-social|comment|comments|commentlist"
+_NAME = (
+    r"(?:ad|ads|adsense|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|byline-social|comment|comments|commentlist"
     r"|consent|cookie|cookies|disqus|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination"
-    r"|popup|promo|related|respond|share|sharing|sidebar|skip-link|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+    r"|popup|promo|related|respond|share|sharing|sidebar|skip-link|social|sponsor|sponsored|subscribe|toolbar|widget)"
 )
+# A class or id counts as a whole: a listed name, or some of them joined, also with a number or one of these ends.
+_NAMES = re.compile(rf"{_NAME}(?:[_-](?:{_NAME}|area|bar|box|buttons|container|links|list|slot|unit|wrapper|\d+))*", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 class Element:
@@ -46,18 +47,28 @@ class Element:
         self.hash = 0
 
     def named(self) -> dict[str, str]:
-        return {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(self.attributes)} if self.attributes else {}
+        return {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(self.attributes))} if self.attributes else {}
 
     def boilerplate(self, inside: bool) -> bool:
-        """Whether the element is no main text by its kind; ``inside`` an article or main part."""
-        if self.tag in DROPPED or self.tag == "header" and not inside:
-            return True
+        """Whether the element is no main text by its kind or names; ``inside`` an article or main part."""
+        return self.by_kind(inside) or self.hidden() or self.by_name()
+
+    def by_kind(self, inside: bool) -> bool:
+        return self.tag in DROPPED or self.tag == "header" and not inside
+
+    def hidden(self) -> bool:
+        if self.tag in ("html", "body") or not self.attributes:
+            return False
+        named = self.named()
+        return "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(named.get("style", "")))
+
+    def by_name(self) -> bool:
         if self.tag in ("html", "body", "article", "main") or not self.attributes:
             return False
-        if _HIDDEN.search(self.attributes):
-            return True
         named = self.named()
-        return named.get("role", "").lower() in ROLES or any(_NAMES.search(named.get(k, "")) for k in ("class", "id"))
+        return named.get("role", "").lower() in ROLES or any(
+            _NAMES.fullmatch(token) for k in ("class", "id") for token in named.get(k, "").split()
+        )
 
 
 def parse(page: str) -> Element:
@@ -111,14 +122,18 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
     """Texts of the blocks of a tree, in page order, without boilerplate and dropped hashes."""
     held: list[str] = []
     # One stack instead of recursion: pages may nest without limit.
-    stack: list[tuple[Element | str | None, bool]] = [(element, inside)]
+    # Beside each node whether it is in a main part (1) or an article (2).
+    stack: list[tuple[Element | str | None, int]] = [(element, 2 * inside if element.tag == "article" else int(inside))]
     while stack:
         node, inner = stack.pop()
         if isinstance(node, str):
             held.append(node)
             continue
         if node is not None:
-            if node is not element and (node.boilerplate(inner) or dropped and removable(node, inner) and node.hash in dropped):
+            if node is not element and (
+                node.boilerplate(inner > 0) and not wraps(node, inner)
+                or dropped and removable(node, inner > 0) and node.hash in dropped
+            ):
                 if node.tag in BLOCKS:
                     node = None
                 else:
@@ -133,7 +148,7 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
                 yield text
             held = []
         if node is not None:
-            inner = inner or node.tag in ("article", "main")
+            inner = max(inner, 2 if node.tag == "article" else int(node.tag == "main"))
             if node.tag in BLOCKS:
                 stack.append((None, inner))
             stack.extend((child, inner) for child in reversed(node.children))
@@ -153,22 +168,58 @@ def removable(node: Element, inside: bool) -> bool:
     return not inside or node.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "header", "footer")
 
 
-def main_parts(root: Element) -> list[tuple[Element, bool]]:
-    """The articles of a page, or its main part, or all of it."""
-    found: dict[str, list[Element]] = {"article": [], "main": []}
-    stack = [root]
+def wraps(node: Element, inner: int) -> bool:
+    """Whether a name is only that of a layout: what has it holds an article or main part.
+
+    Inside an article (2) an article is a comment or teaser, so there names count.
+    """
+    if node.by_kind(inner > 0) or node.hidden():
+        return False
+    stack = [c for c in node.children if isinstance(c, Element)]
     while stack:
-        node = stack.pop()
-        if node is not root and node.boilerplate(False):
+        part = stack.pop()
+        if part.by_kind(inner > 0) or part.hidden():
             continue
-        if node.tag in found:
-            found[node.tag].append(node)
+        if part.tag == "main" or part.tag == "article" and inner < 2:
+            return True
+        stack.extend(c for c in part.children if isinstance(c, Element))
+    return False
+
+
+def main_parts(root: Element) -> list[tuple[Element, bool]]:
+    """The visible articles of a page, or its main parts, or all of it.
+
+    Those in elements that are no main text by kind or name come after the others: an
+    article in a sidebar is a teaser, unless the page has no other. The first of these
+    choices that has text is taken.
+    """
+    found: dict[tuple[bool, str], list[Element]] = {(far, tag): [] for far in (False, True) for tag in ("article", "main")}
+    stack = [(root, False)]
+    while stack:
+        node, far = stack.pop()
+        if node is not root:
+            if node.tag in RAW or node.hidden():
+                continue
+            far = far or node.boilerplate(False)
+        if (far, node.tag) in found:
+            found[far, node.tag].append(node)
+            # What is in an article is part of it, unless it is its comments; so with main parts.
             if node.tag == "article":
-                # Articles in an article are part of it, unless they are its comments.
                 continue
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-    parts = found["article"] or found["main"][:1]
-    return [(p, True) for p in parts] or [(root, False)]
+        stack.extend((c, far) for c in reversed(node.children) if isinstance(c, Element))
+    for parts in found.values():
+        held = {id(p) for p in parts}
+        # A main part in another is read with it.
+        for p in parts:
+            below = [c for c in p.children if isinstance(c, Element)]
+            while below:
+                c = below.pop()
+                held.discard(id(c))
+                below.extend(x for x in c.children if isinstance(x, Element))
+        outer = [(p, True) for p in parts if id(p) in held]
+        if any(True for p, _ in outer for _ in blocks(p, frozenset(), True)):
+            return outer
+    return [(root, False)]
 
 
 def hash_subtrees(root: Element) -> None:

@@ -28,6 +28,25 @@ def test_broken_pages():
     assert text("<article><header><h2>Kept</h2></header>x</article>") == "Kept\nx"
 
 
+def test_names_of_layouts_hide_no_article():
+    for name in ("layout has-sidebar", "no-sidebar", "with-nav", "no-comments", "layout sidebar", "widget"):
+        for kind in ("article", "main"):
+            assert text(f"<body><div class='{name}'><{kind}><p>In</p></{kind}></div></body>") == "In"
+    assert text("<main><h1>T</h1><div class='layout sidebar'><article>In</article></div></main>") == "T\nIn"
+    assert text("<form><main><p>In</p></main></form>") == "In"
+    # Comments and teasers do not stand in for the article beside them.
+    assert text("<main><article>In</article><div class='comments'><article>First!</article></div></main>") == "In"
+    assert text("<article>In<div class='comments'><article>First!</article></div></article>") == "In"
+    assert text("<main>One</main><div><main>Two</main></div><main hidden>No</main><article hidden>No</article>") == "One\nTwo"
+    assert text("<article> </article><main>In</main>") == "In"
+
+
+def test_hidden_is_an_attribute():
+    kept = "<a title='The hidden cost'>a</a> <i class='box hidden md:block'>b</i> <i data-x='display: none'>c</i>"
+    gone = "<i hidden>d</i><i class=x hidden=''>e</i><i style='color:red; display : none'>f</i><i aria-hidden=true>g</i>"
+    assert text(f"<article><p>{kept}{gone}</p></article>") == "a b c"
+
+
 def template_pages():
     box = '<div><a href="/x">Read our guide</a><span>Follow</span></div>'
     own = lambda k: f"<article><p>Story {k}</p><p>The same sentence.</p>{box}</article>"
