@@ -21,6 +21,9 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+# What may go where it recurs: parts that hold others; and outside articles and main parts texts, if in the same place.
+CONTAINERS = frozenset("div section ul ol dl table figure details header footer nav aside".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address hgroup".split())
 DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas nav footer aside form button select textarea input"
     " menu dialog audio video map".split()
@@ -39,12 +42,14 @@ _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    __slots__ = ("tag", "attributes", "children", "hash", "keys")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
         self.hash = 0
+        # What the element is counted by where it recurs; set by ``hash_subtrees``.
+        self.keys: tuple[int, ...] = ()
 
     def named(self) -> dict[str, str]:
         return {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(self.attributes))} if self.attributes else {}
@@ -132,7 +137,7 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
         if node is not None:
             if node is not element and (
                 node.boilerplate(inner > 0) and not wraps(node, inner)
-                or dropped and removable(node, inner > 0) and node.hash in dropped
+                or dropped and removable(node, inner > 0) and not dropped.isdisjoint(node.keys)
             ):
                 if node.tag in BLOCKS:
                     node = None
@@ -158,14 +163,12 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
 
 
 def removable(node: Element, inside: bool) -> bool:
-    """Whether a recurring subtree may go: inside an article only parts that hold others.
+    """Whether a recurring subtree may go: in an article or main part only parts that hold others.
 
     Headings, paragraphs and the like in an article are its text, also where a sentence
-    recurs on many pages.
+    recurs on many pages. Rows, items and words in a line go only with what is around them.
     """
-    if node.tag in ("html", "body", "article", "main"):
-        return False
-    return not inside or node.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "header", "footer")
+    return node.tag in CONTAINERS or not inside and (node.tag in TEXTS or node.tag in DROPPED)
 
 
 def wraps(node: Element, inner: int) -> bool:
@@ -223,7 +226,12 @@ def main_parts(root: Element) -> list[tuple[Element, bool]]:
 
 
 def hash_subtrees(root: Element) -> None:
-    """Give every element a hash of its kind, names, texts and children."""
+    """Give every element a hash of its kind, names, texts and children, and its keys.
+
+    The key of a text outside a container is its hash with its place, once counted from the
+    start and once from the end of what is around it: a short sentence may recur by chance,
+    but not in one place.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -237,23 +245,69 @@ def hash_subtrees(root: Element) -> None:
             else:
                 h.update(b"\2" + child.hash.to_bytes(8, "little", signed=True))
         node.hash = int.from_bytes(h.digest(), "little", signed=True)
+        node.keys = (node.hash,)
+    paths: list[tuple[Element, str]] = [(root, "")]
+    while paths:
+        around, path = paths.pop()
+        held = [c for c in around.children if isinstance(c, Element)]
+        for at, node in enumerate(held):
+            if node.tag in TEXTS:
+                node.keys = tuple(_mixed(node.hash, f"{path} {place}") for place in (at, at - len(held)))
+        # Depth is cut to a digest, as pages may nest without limit.
+        paths.extend((c, _mixed_path(path, c.tag)) for c in held if c.children)
+
+
+def _mixed(number: int, place: str) -> int:
+    h = hashlib.blake2b(number.to_bytes(8, "little", signed=True) + place.encode(), digest_size=8)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _mixed_path(path: str, tag: str) -> str:
+    return hashlib.blake2b(f"{path}/{tag}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+
 
 
 def main_text(root: Element, dropped: frozenset[int] | set[int] = frozenset()) -> str:
     return "\n".join(b for part, inside in main_parts(root) for b in blocks(part, dropped, inside))
 
 
-def candidate_hashes(root: Element) -> list[int]:
-    """Hashes of the subtrees of the main parts that may go if they recur."""
+def holds_main(root: Element) -> set[int]:
+    """``id`` of the elements that hold a visible article or main part."""
     out: set[int] = set()
-    stack = [(part, inside, True) for part, inside in main_parts(root)]
+    stack: list[tuple[Element, tuple | None]] = [(root, None)]
     while stack:
-        node, inside, top = stack.pop()
-        if not top:
-            if node.boilerplate(inside):
+        node, above = stack.pop()
+        chain = (id(node), above)
+        if node.tag in ("article", "main"):
+            while chain and chain[0] not in out:
+                out.add(chain[0])
+                chain = chain[1]
+            if node.tag == "article":
+                continue
+        stack.extend((c, chain) for c in node.children if isinstance(c, Element) and not c.hidden())
+    return out
+
+
+def candidates(root: Element) -> tuple[list[int], list[int], bool]:
+    """Keys of all subtrees of the page that may recur, and of those in its text that may go.
+
+    The first list covers the whole page: navigation, adverts and footers as well. The second
+    is of the parts that the text is read from, as to delete something elsewhere would not
+    change the text; with it stands whether these are articles or main parts.
+    """
+    holds = holds_main(root)
+
+    def below(part: Element, within: bool, all: bool) -> Iterator[int]:
+        stack = [(c, within) for c in part.children if isinstance(c, Element)]
+        while stack:
+            node, inside = stack.pop()
+            if node.tag in RAW or node.tag == "head" or not all and node.hidden():
                 continue
-            if removable(node, inside):
-                out.add(node.hash)
-        inside = inside or node.tag in ("article", "main")
-        stack.extend((c, inside, False) for c in node.children if isinstance(c, Element))
-    return sorted(out)
+            if id(node) not in holds and removable(node, inside):
+                yield from node.keys
+            inside = inside or node.tag in ("article", "main")
+            stack.extend((c, inside) for c in node.children if isinstance(c, Element))
+
+    parts = main_parts(root)
+    own = {key for part, inside in parts for key in below(part, inside, False)}
+    return sorted(own), sorted(own), parts[0][1]

@@ -1,14 +1,20 @@
 """Main text of web pages: articles without what their site repeats.
 
-A page becomes a tree. Navigation, adverts, forms and the like go by their kind, and what
-is left is the article, or the main part, or the body. Sites also repeat parts that no
-name gives away. So each page sends the hashes of the subtrees that are left; they are
-counted per host, over pages with different texts; and subtrees on ``SHARE`` of a host's
-pages, ``LEAST_PAGES`` at least, are deleted from the pages of that host. Paragraphs and
-headings of an article never go that way, so a sentence that many articles share stays.
-
-What is shuffled is a number per subtree, combined per task. A host's templates are at most
-``1 / SHARE`` times what a page has on average, so the list that meets its pages is short.
+A page becomes a tree. Each page sends the hashes of the element subtrees in its
+main parts; they are counted per host, over pages with different texts.
+Subtrees on ``LEAST_PAGES`` pages are a site's template and deleted from its pages, in an
+article or main part those on ``LEAST_INSIDE``, as a few articles may share a list or table.
+These are absolute counts: what stands on so many pages goes on hosts of any size. Texts
+outside an article must recur in the same place, and paragraphs and headings of an article
+never go that way, so a sentence that many articles share stays.
+
+Recurrence decides first, but sees only what is the same on several pages. So names and
+kinds of elements complement it: the text is read from the article, or the main part, or
+the body, and there without navigation, adverts, forms and the like.
+
+What is shuffled is a number per subtree, combined per task. Pages meet the templates as
+pairs of host and hash, with hot pairs spread over tasks, so no list of a host is in one
+place; a page then gets the list of its own subtrees that go.
 
 Defined cases: a null or empty page, or one with markup only, has an empty text; a page
 that ends anywhere is read as far as it goes; a null url is a host of its own; repeated rows
@@ -23,11 +29,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.llm.common import sized, stored, text_of
-from songloom.llm.markup import candidate_hashes, hash_subtrees, main_text, parse
+from songloom.llm.common import stored, text_of
+from songloom.llm.markup import candidates, hash_subtrees, main_text, parse
+from songloom.operators.skew import join_unique
 
 LEAST_PAGES = 5
-SHARE = 0.1
+LEAST_INSIDE = 10
+# Up to so many pages' lists of what goes are broadcast.
+BROADCAST_LISTS = 20_000
 
 
 def host_of(url: str) -> Column:
@@ -35,7 +44,7 @@ def host_of(url: str) -> Column:
 
 
 def _subtrees():
-    @F.arrow_udf("struct<body:long,hashes:array<long>>")
+    @F.arrow_udf("struct<body:long,seen:array<long>,own:array<long>,inside:boolean>")
     def subtrees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
             bodies, lists = [], []
@@ -44,8 +53,11 @@ def _subtrees():
                 hash_subtrees(root)
                 digest = hashlib.blake2b(main_text(root).encode("utf-8", "replace"), digest_size=8).digest()
                 bodies.append(int.from_bytes(digest, "little", signed=True))
-                lists.append(candidate_hashes(root))
-            yield pa.StructArray.from_arrays([pa.array(bodies, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["body", "hashes"])
+                lists.append(candidates(root))
+            seen, own, inside = zip(*lists) if lists else ((), (), ())
+            kind = pa.list_(pa.int64())
+            columns = [pa.array(bodies, pa.int64()), pa.array(seen, kind), pa.array(own, kind), pa.array(inside, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["body", "seen", "own", "inside"])
 
     return subtrees.asNondeterministic()
 
@@ -65,20 +77,41 @@ def _text():
     return text.asNondeterministic()
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``host, hashes``: subtrees that recur on a host, stored."""
-    found = stored(pages.select(host_of(url).alias("host"), _subtrees()(text_of(html)).alias("x")).select("host", "x.*"))
+def page_key(html: str) -> Column:
+    return F.unhex(F.md5(text_of(html)))
+
+
+def subtrees_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host, page, body, seen, own, inside`` per page, stored."""
+    found = pages.select(host_of(url).alias("host"), page_key(html).alias("page"), _subtrees()(text_of(html)).alias("x"))
+    return stored(found.select("host", "page", "x.*"))
+
+
+def templates(found: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """``host, hash, pages``: subtrees that recur on a host, and on how many different pages."""
     # Copies of a page are one page here, or they would delete their own article.
-    sizes = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    each = found.select("host", "body", F.explode("hashes").alias("hash")).distinct()
-    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return stored(often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")))
+    each = found.select("host", "body", F.explode("seen").alias("hash")).distinct()
+    return each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+
+
+def lists_of_pages(found: DataFrame, least: int = LEAST_PAGES, inside: int = LEAST_INSIDE, **hot) -> DataFrame:
+    """``host, page, hashes``: what goes from each different page, if anything; stored."""
+    needed = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(least)).alias("needed")
+    mine = found.where(F.size("own") > 0).select("host", "page", needed, F.explode("own").alias("hash")).distinct()
+    met = join_unique(mine, stored(templates(found, min(least, inside))), ["host", "hash"], "inner", spread="page", **hot)
+    often = met.where(F.col("pages") >= F.col("needed"))
+    return stored(often.groupBy("host", "page").agg(F.collect_list("hash").alias("hashes")))
 
 
-def page_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def page_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", broadcast: int = BROADCAST_LISTS) -> DataFrame:
     """One row per page: ``page_id, url, text``."""
-    known = sized(templates(pages, url, html), 20_000)
-    keyed = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("_html"), host_of(url).alias("_host"))
-    joined = keyed.alias("p").join(known.alias("t"), F.expr("p._host = t.host"), "left")
-    return joined.select("p.page_id", "p.url", _text()("p._html", "t.hashes").alias("text"))
+    known = lists_of_pages(subtrees_of(pages, url, html))
+    keyed = pages.select(
+        F.col(id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("_html"),
+        host_of(url).alias("host"), page_key(html).alias("page"), F.xxhash64(id, url).alias("_spread"),
+    )
+    if known.count() <= broadcast:
+        joined = keyed.join(F.broadcast(known), ["host", "page"], "left")
+    else:
+        joined = join_unique(keyed, known, ["host", "page"], spread="_spread")
+    return joined.select("page_id", "url", _text()("_html", "hashes").alias("text"))

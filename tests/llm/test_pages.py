@@ -66,6 +66,27 @@ def test_recurring_subtrees_go_per_host(spark):
     assert got[303] == "Text 3"
 
 
+def test_recurrence_does_not_scale_with_the_host(spark):
+    box, table = "<div>Read our guide</div>", "<table><tr><td>a<td>b</table>"
+    extra = lambda k: box if k < 12 else table if k < 17 else ""
+    rows = [(k, "http://big/", f"<article><p>Story {k}</p>{extra(k)}</article>") for k in range(400)]
+    rows += [(1000 + k, "http://small/", f"<article><p>Tale {k}</p>{table if k < 5 else ''}</article>") for k in range(20)]
+    # Without an article: a sentence recurs in other places by chance, a line at the end is a template.
+    rows += [(2000 + k, "http://c/", "<p>x</p>" * k + f"<p>Own {k}</p><p>Thanks.</p>" + f"<p>More {k}</p>" * (9 - k) + "<p>Ours.</p>") for k in range(8)]
+    # As many copies of a page as make it hot.
+    rows += [(3000 + k, "http://big/", rows[0][2]) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for broadcast in (0, 1000):
+        got = {r.page_id: r.text for r in pages.page_texts(df, broadcast=broadcast).collect()}
+        assert len(got) == len(rows)
+        assert all(got[k] == f"Story {k}" for k in range(12)) and got[3007] == "Story 0"
+        assert got[13] == "Story 13\na\nb" and got[1002] == "Tale 2\na\nb"
+        assert "Thanks." in got[2003] and "Ours." not in got[2003]
+    found = pages.subtrees_of(df)
+    plain, salted = (pages.lists_of_pages(found, **hot).selectExpr("host", "page", "sort_array(hashes)") for hot in ({}, {"hot_rows": 3}))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, salted.collect()))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "x", ""), (2, "http://h/", "<p>a</p>"), (2, "http://h/", "<p>a</p>"), (3, "http://h/", "<nav>n</nav>")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as text", "2 as host", "3 as hashes", "4 as _html")
