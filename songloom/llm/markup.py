@@ -310,4 +310,4 @@ def candidates(root: Element) -> tuple[list[int], list[int], bool]:
 
     parts = main_parts(root)
     own = {key for part, inside in parts for key in below(part, inside, False)}
-    return sorted(own), sorted(own), parts[0][1]
+    return sorted(set(below(root, False, True))), sorted(own), parts[0][1]

@@ -1,7 +1,7 @@
 """Main text of web pages: articles without what their site repeats.
 
-A page becomes a tree. Each page sends the hashes of the element subtrees in its
-main parts; they are counted per host, over pages with different texts.
+A page becomes a tree. Each page sends the hashes of its element subtrees, navigation,
+adverts and footers included; they are counted per host, over pages with different texts.
 Subtrees on ``LEAST_PAGES`` pages are a site's template and deleted from its pages, in an
 article or main part those on ``LEAST_INSIDE``, as a few articles may share a list or table.
 These are absolute counts: what stands on so many pages goes on hosts of any size. Texts

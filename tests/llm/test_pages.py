@@ -66,6 +66,17 @@ def test_recurring_subtrees_go_per_host(spark):
     assert got[303] == "Text 3"
 
 
+def test_whole_pages_are_counted(spark):
+    # The bar has no name that gives it away; articles' pages are evidence for one without.
+    bar = "<div class='x7'><ul><li>Home</ul></div>"
+    rows = [(k, "http://a/", f"<body>{bar}<article><p>Story {k}</article><footer>F</footer></body>") for k in range(9)]
+    rows += [(9, "http://a/", f"<body>{bar}<p>All stories</p><footer>F</footer></body>"), (10, "http://b/", f"<body>{bar}<p>All</p></body>")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.pages for r in pages.templates(pages.subtrees_of(df)).collect()} == {10}
+    got = {r.page_id: r.text for r in pages.page_texts(df).collect()}
+    assert got[0] == "Story 0" and got[9] == "All stories" and got[10] == "Home\nAll"
+
+
 def test_recurrence_does_not_scale_with_the_host(spark):
     box, table = "<div>Read our guide</div>", "<table><tr><td>a<td>b</table>"
     extra = lambda k: box if k < 12 else table if k < 17 else ""
