@@ -1,15 +1,16 @@
 """Toxicity of documents by their nearest labelled examples.
 
-Terms are words and beginnings of words, without punctuation at the ends. Of the terms in
-the examples, the ``TERMS`` that tell the labels apart best by chi-squared span the space;
-all other words count together as one more term, so a long text with one bad word stays far
-from a short one with five. Vectors are TF-IDF, ``(1 + log n) * idf``, of length 1. The
+Terms are words and beginnings of words, without punctuation at the ends. All terms of the
+examples that tell the labels apart by a chi-squared of ``LEAST_CHI`` span the space, so it
+grows with the vocabulary; a term and its beginnings that stand in the same examples are one.
+All other words count together as one more term, so a long text with one bad word stays far
+from a short one with five. Document frequencies are those of all documents. Vectors are TF-IDF, ``(1 + log n) * idf``, of length 1. The
 neighbours are the ``NEIGHBOURS`` nearest examples by exact cosine, and all tied with the
 last. They vote by ``1 / (1 - cosine + SOFT)``; a logistic curve, fitted to what each
 example's own neighbours say about it, turns votes into probabilities.
 
 Only the fit is on a sample: at most ``SAMPLE`` labelled rows, those first by a hash of
-their id. The index of these is sent to the tasks and every whole text is scored where it
+their id. A task sends its document frequencies of the chosen terms as one array. The index of these is sent to the tasks and every whole text is scored where it
 lies. Nothing else is shuffled, so no key or group can be hot.
 
 Defined cases: a null text is empty; a text without words is nearest to examples without
@@ -33,7 +34,6 @@ from songloom.llm.blockmax import BlockMaxIndex, Vector, build
 from songloom.llm.common import as_rows, stored, text_of
 
 SAMPLE = 10_000
-TERMS = 96
 LEAST_CHI = 12.0
 LEAST_DOCUMENTS = 3
 NEIGHBOURS = 15
@@ -60,19 +60,24 @@ class Space:
     idf: np.ndarray
 
     def __post_init__(self) -> None:
+        self.other = max(self.number.values(), default=-1) + 1
         self.seen: dict[str, tuple[int, ...]] = {}
 
-    def vector(self, text: str) -> Vector:
+    def hits(self, word: str) -> tuple[int, ...]:
+        """Numbers of a word's terms, each once."""
         if len(self.seen) > WORDS:
             self.seen.clear()
+        found = self.seen.get(word)
+        if found is None:
+            terms = terms_of(word)
+            found = tuple(sorted({self.number[t] for t in terms if t in self.number}))
+            found = self.seen[word] = found or ((self.other,) if terms else ())
+        return found
+
+    def vector(self, text: str) -> Vector:
         counts: Counter[int] = Counter()
         for word, n in Counter(text.lower().split()).items():
-            hits = self.seen.get(word)
-            if hits is None:
-                terms = terms_of(word)
-                hits = tuple(self.number[t] for t in terms if t in self.number)
-                hits = self.seen[word] = hits or ((len(self.number),) if terms else ())
-            for hit in hits:
+            for hit in self.hits(word):
                 counts[hit] += n
         terms = np.array(sorted(counts), np.int64)
         weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
@@ -144,6 +149,44 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def slots(counts: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """A number per term; a term and the beginnings of it with equal counts share one.
+
+    A beginning is in every document that its words are in, so with equal counts the
+    documents are the same.
+    """
+    number: dict[str, int] = {}
+    used = 0
+    for term in sorted(counts):
+        # The whole word "tras$" has the beginnings of "tras".
+        shorter = [term[:n] for n in range(len(term) - 1, min(BEGINNINGS) - 1, -1)]
+        same = next((b for b in shorter if counts.get(b) == counts[term]), None)
+        if same is None:
+            number[term], used = used, used + 1
+        else:
+            number[term] = number[same]
+    return number
+
+
+def document_frequencies(docs: DataFrame, space: Space) -> tuple[int, np.ndarray]:
+    """How many documents there are, and in how many each number of the space is."""
+    size = space.other
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = 0, np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += 1
+                hits = {hit for word in set(text.lower().split()) for hit in space.hits(word)}
+                held[list(hits)] += 1
+        at = np.flatnonzero(held[:size])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *held[at].tolist()], pa.int64())], ["at", "n"])
+
+    rows = docs.select(text_of("text")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    found = {row.at: row.n for row in rows}
+    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(size)], float)
+
+
 def _chi_squared(n: Column, p: Column, documents: int, positives: int) -> Column:
     """From 2 x 2 counts of term and label."""
     a, b = p.cast("double"), (n - p).cast("double")
@@ -173,11 +216,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows.select("text", "label").mapInArrow(_term_counts, "term string, n long, p long")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
         .where(F.col("n") >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-        .orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+        .collect()
     )
-    best.sort(key=lambda row: row.term)
-    idf = np.array([*[np.log((documents + 1) / (row.n + 1)) + 1 for row in best], 1.0])
-    space = Space({row.term: i for i, row in enumerate(best)}, idf)
+    number = slots({row.term: (row.n, row.p) for row in best})
+    total, frequency = document_frequencies(docs, Space(number, np.ones(0)))
+    space = Space(number, np.array([*(np.log((total + 1) / (frequency + 1)) + 1), 1.0]))
 
     vectors = (
         rows.select("doc_id", "label", _vectors(space)("text").alias("v")).select("doc_id", "label", "v.*")
