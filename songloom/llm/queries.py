@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import chat, exact, mixing, near, packing, pages, quality, rules, suffix, toxicity
+from songloom.llm import chat, exact, mixing, near, packing, pages, quality, rules, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,3 +163,8 @@ def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-1, 0, "user", marks), (-1, 1, chat.LEARNED, marks)]
     added = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_chats(turns.unionByName(added)))
+
+
+@query()
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
