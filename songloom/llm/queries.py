@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from songloom.llm import chat, exact, mixing, near, negatives, packing, pages, quality, rules, simhash, suffix, toxicity
+from songloom.llm import chat, exact, mixing, near, negatives, packing, pages, quality, repair, rules, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,3 +200,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(negatives.prepared(vectors, label=wrong))
+
+
+@query()
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(turns), turns)
