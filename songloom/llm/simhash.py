@@ -141,7 +141,10 @@ def emitted(fingerprints: DataFrame, of: Callable[[np.ndarray], np.ndarray], nam
                 lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some, lists], ["f", "all"])
 
-    return fingerprints.select("f").mapInArrow(emit, "f long, all array<long>").select("f", F.explode("all").alias(name))
+    # A task for each part of the work: a small table may be in one file.
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fingerprints.select("f").repartition(tasks, "f")
+    return spread.mapInArrow(emit, "f long, all array<long>").select("f", F.explode("all").alias(name))
 
 
 def _close(a: str, b: str) -> Column:
@@ -176,17 +179,17 @@ def _listed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _ball_links(crowded: DataFrame) -> DataFrame:
     """All that links the fingerprints ``f`` of a table, through balls of radius one and two."""
-    spread = crowded.repartition("f")
-    hubs = emitted(spread, lambda f: ball_variants(f, 1), "v").groupBy("v").agg(F.min("f").alias("a"))
-    two = emitted(spread, lambda f: ball_variants(f, 2), "v")
+    hubs = emitted(crowded, lambda f: ball_variants(f, 1), "v").groupBy("v").agg(F.min("f").alias("a"))
+    two = emitted(crowded, lambda f: ball_variants(f, 2), "v")
     return two.join(hubs, "v").where("a <> f").select("a", F.col("f").alias("b"))
 
 
 def links_between(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: links that join all fingerprints ``f`` (each once) within ``RADIUS`` bits; stored."""
     meeting = emitted(classes, rest_variants, "key")
+    # Nearly all numbers are met once, so nothing is gained by counting before the shuffle.
     met = stored(
-        meeting.groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+        meeting.repartition("key").groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
     )
     found = met.where((F.col("n") == 2) & _close("a", "b")).select("a", "b")
     more = sized(met.where("n > 2").select("key", "n"))
