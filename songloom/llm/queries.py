@@ -42,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    """Learned from the labels that are not held out."""
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[toxicity.Model, DataFrame]:
+    """Learned from the labels that are not held out, with the term counts of ``docs``."""
     labels = table(spark, sf_dir, "labels").where(~quality.in_fold(5, 0))
     return toxicity.learn(docs, labels.select("doc_id", F.col("toxic").alias("label")))
 
@@ -145,7 +145,8 @@ def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.toxicity_scores(docs, toxicity_model(spark, docs, sf_dir)).select(
+    model, counted = toxicity_model(spark, docs, sf_dir)
+    return toxicity.judged(counted, model).select(
         "doc_id", quality.in_fold(5, 0).alias("held_out"), "score", "predicted", "evidence"
     )
 
