@@ -11,7 +11,8 @@ from songloom.llm.queries import WEIGHTS, tokenizer_file, toxicity_model
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
-    return toxicity.drop_toxic(docs, toxicity_model(spark, docs, sf_dir))
+    model, counted = toxicity_model(spark, docs, sf_dir)
+    return toxicity.drop_toxic(docs, model, counted)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
