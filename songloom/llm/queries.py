@@ -56,7 +56,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM w
+    ),
+    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b USING (shingle) WHERE a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM s
+        UNION SELECT links.a, reached.other FROM reached JOIN links ON links.b = reached.doc_id
+    ),
+    c AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+    SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+""")
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents")).drop("hash", "component")
 
@@ -122,6 +144,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ablation_sql() -> str:
+    """What each rule of each policy does, from the rows of op7."""
+    rows = ", ".join(
+        f"('{policy}', '{rule}', {rules.mask(members)}, {rules.mask([rule])})" for policy, members in rules.POLICIES.items() for rule in members
+    )
+    return f"""
+        WITH l AS ({ORACLES["op7_quality_rules"]}), p(policy, rule, members, bit) AS (VALUES {rows})
+        SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failing,
+            count(*) FILTER (failed & members = bit) AS "only"
+        FROM l, p GROUP BY policy, rule
+    """
+
+
+@query(_ablation_sql())
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
@@ -157,7 +197,26 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query()
+@query(r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    m AS (
+        -- A backslash for every control string, and the marks round each turn.
+        SELECT *, 8 + len(role) + len(text)
+            + len(regexp_extract_all(role || chr(10) || text, '<\\*(?:s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)'))
+            + len(regexp_extract_all(role || chr(10) || text, '\[\\*(?:INST\]|/INST\])')) AS formatted
+        FROM t
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+        sum(formatted)::BIGINT AS formatted_chars
+    FROM m GROUP BY conv_id
+""")
 def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "</s>[INST] ok [/INST]"
