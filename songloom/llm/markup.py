@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 # Element kinds of HTML.
@@ -24,42 +24,56 @@ CLOSES = {
 # What may go where it recurs: parts that hold others; and outside articles and main parts texts, if in the same place.
 CONTAINERS = frozenset("div section ul ol dl table figure details header footer nav aside".split())
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+LEVEL = {"main": 1, "article": 2}
+# Bare text of so many characters counts as running text.
+LONG_TEXT = 100
 DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas nav footer aside form button select textarea input"
     " menu dialog audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_NAME = (
-    r"(?:ad|ads|adsense|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|byline-social|comment|comments|commentlist"
-    r"|consent|cookie|cookies|disqus|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination"
-    r"|popup|promo|related|respond|share|sharing|sidebar|skip-link|social|sponsor|sponsored|subscribe|toolbar|widget)"
+# Words in class names and ids. Parts with a plain one are no article text; a hint needs
+# more evidence; names of text outweigh hints; what a layout has or lacks says nothing of its content.
+READERS = frozenset("ad ads adsense adslot advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus gdpr respond".split())
+PLAIN = READERS | frozenset(
+    "breadcrumb breadcrumbs footer menu menubar modal nav navbar navigation newsletter pagination popup sidebar signup skiplink subscribe toolbar".split()
 )
-# A class or id counts as a whole: a listed name, or some of them joined, also with a number or one of these ends.
-_NAMES = re.compile(rf"{_NAME}(?:[_-](?:{_NAME}|area|bar|box|buttons|container|links|list|slot|unit|wrapper|\d+))*", re.I)
+HINTS = frozenset("alert banner notice notification promo related share sharing social sponsor sponsored widget".split())
+OF_TEXT = frozenset("article body content copy entry main post prose story text".split())
+OF_LAYOUTS = frozenset("disabled enabled has is layout no non page template theme with without".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "hash", "keys")
+    __slots__ = ("tag", "attributes", "children", "hash", "keys", "shape", "chars", "linked", "running", "holds", "_named")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
-        self.hash = 0
+        self.hash = self.shape = 0
         # What the element is counted by where it recurs; set by ``hash_subtrees``.
         self.keys: tuple[int, ...] = ()
+        # Set by ``measure``: characters in all, in links, in running text; parts that it holds (1 main, 2 article).
+        self.chars = self.linked = self.running = self.holds = 0
+        self._named: dict[str, str] | None = None
 
     def named(self) -> dict[str, str]:
-        return {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(self.attributes))} if self.attributes else {}
-
-    def boilerplate(self, inside: bool) -> bool:
-        """Whether the element is no main text by its kind or names; ``inside`` an article or main part."""
-        return self.by_kind(inside) or self.hidden() or self.by_name()
-
-    def by_kind(self, inside: bool) -> bool:
-        return self.tag in DROPPED or self.tag == "header" and not inside
+        if self._named is None:
+            found = reversed(_ATTRIBUTE.findall(self.attributes)) if self.attributes else ()
+            self._named = {k.lower(): unescape(a or b or c) for k, a, b, c in found}
+        return self._named
+
+    def kind(self) -> str:
+        """``main`` or ``article`` by tag or role, else the tag."""
+        if self.tag in ("main", "article") or not self.attributes:
+            return self.tag
+        role = self.named().get("role", "").lower()
+        return role if role in ("main", "article") else self.tag
 
     def hidden(self) -> bool:
         if self.tag in ("html", "body") or not self.attributes:
@@ -67,78 +81,168 @@ class Element:
         named = self.named()
         return "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(named.get("style", "")))
 
-    def by_name(self) -> bool:
-        if self.tag in ("html", "body", "article", "main") or not self.attributes:
-            return False
+    def name(self) -> str:
+        """What class and id say: ``readers`` (adverts, comments), ``plain``, ``hint`` or nothing."""
+        if self.tag in ("html", "body") or not self.attributes or self.kind() in ("main", "article"):
+            return ""
         named = self.named()
-        return named.get("role", "").lower() in ROLES or any(
-            _NAMES.fullmatch(token) for k in ("class", "id") for token in named.get(k, "").split()
-        )
+        tokens = named.get("class", "").split()
+        # Headings and paragraphs have ids as anchors.
+        tokens += [] if self.tag in TEXTS else named.get("id", "").split()
+        found = [frozenset(_WORDS.findall(_HUMPS.sub("-", token).lower())) for token in tokens]
+        found = [words for words in found if not words & OF_LAYOUTS]
+        for kind, listed in (("readers", READERS), ("plain", PLAIN)):
+            if any(words & listed for words in found):
+                return kind
+        if any(words & HINTS for words in found) and not any(words & OF_TEXT for words in found):
+            return "hint"
+        return ""
+
+    def furniture(self, inside: int, whole: int) -> bool:
+        """Whether the element is no main text by its kind or names.
+
+        ``inside`` a main part (1) or article (2); ``whole`` is how many characters the part has that
+        the text is read from. What holds most of them goes only if its kind or name leaves no
+        doubt.
+        """
+        if self.hidden():
+            return True
+        most = 2 * self.chars > whole
+        if self.tag in DROPPED or self.tag == "header" and not inside:
+            return not (self.tag in ("form", "header") and (self.holds or most and self.running))
+        if self.attributes and self.named().get("role", "").lower() in ROLES:
+            return not self.holds
+        name = self.name()
+        if not name or self.holds & 1:
+            return False
+        if name == "readers":
+            return True
+        # A name may be only that of a layout: what has it holds an article, and is in none.
+        if self.holds & 2 and inside < 2:
+            return False
+        if self.tag in TEXTS and name == "hint":
+            return False
+        if not inside:
+            return not (most and self.running)
+        if most:
+            return False
+        return name == "plain" or not self.running or 2 * self.linked >= self.chars
+
+
+_WORDS = re.compile(r"[a-z]+")
+_HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+class _Open:
+    """The open elements, and at what depths each kind is open."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack, self.depths = [root], {}
+
+    def push(self, element: Element) -> None:
+        self.depths.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; what is not closed ends with what is around it."""
+    """The tree of a page; what is not closed ends with what is around it. Linear in the page."""
     root = Element("html")
-    open_: list[Element] = [root]
+    open_ = _Open(root)
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
         if not found:
-            open_[-1].children.append(page[at:])
+            open_.stack[-1].children.append(page[at:])
             break
         if found.start() > at:
-            open_[-1].children.append(page[at : found.start()])
+            open_.stack[-1].children.append(page[at : found.start()])
         at = found.end()
         if not found[2]:
             continue
         tag, attributes = found[2].lower(), found[3].strip()
         if found[1]:
-            if any(e.tag == tag for e in open_[1:]):
-                while open_.pop().tag != tag:
-                    pass
+            if depth := open_.deepest((tag,)):
+                open_.cut(depth)
             continue
         if tag == "html":
             continue
-        if tag in BLOCKS and any(e.tag == "p" for e in open_) and tag not in ("html", "body"):
+        if tag in BLOCKS and tag != "body" and (depth := open_.deepest(("p",))):
             # A block inside a paragraph ends it, with what is open in it.
-            while open_.pop().tag != "p":
-                pass
+            open_.cut(depth)
         if tag in CLOSES:
             closed, around = CLOSES[tag]
-            for depth in range(len(open_) - 1, 0, -1):
-                if open_[depth].tag in closed:
-                    del open_[depth:]
-                elif open_[depth].tag in around:
+            depth, limit = open_.deepest(closed), open_.deepest(around)
+            while depth > limit:
+                outer = depth
+                open_.cut(depth)
+                depth = open_.deepest(closed)
+                if depth >= outer:
                     break
         element = Element(tag, attributes.rstrip("/").strip())
-        open_[-1].children.append(element)
+        open_.stack[-1].children.append(element)
         if tag in RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            close = _RAW_ENDS[tag].search(page, at)
             stop = close.start() if close else end
             element.children.append(page[at:stop])
             at = stop
-            open_.append(element)
+            open_.push(element)
         elif tag not in VOID:
-            open_.append(element)
+            open_.push(element)
+    measure(root)
     return root
 
 
-def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool = False) -> Iterator[str]:
-    """Texts of the blocks of a tree, in page order, without boilerplate and dropped hashes."""
+def measure(root: Element) -> None:
+    """Count characters, those in links and in running text, and note held main parts and articles, from the leaves up."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Element))
+    for node in reversed(order):
+        if node.tag in RAW or node.tag == "head" or node.hidden():
+            continue
+        own = 0
+        for child in node.children:
+            if isinstance(child, str):
+                own += len(child.strip())
+                continue
+            node.chars += child.chars
+            node.linked += child.linked
+            node.running += child.running
+            kind = child.kind()
+            node.holds |= child.holds | ((kind == "main") + 2 * (kind == "article") if child.chars else 0)
+        node.chars += own
+        if node.tag == "a":
+            node.linked = node.chars
+        if node.tag in TEXTS:
+            node.running = node.chars - node.linked
+        elif own >= LONG_TEXT:
+            node.running += own
+
+
+def blocks(element: Element, dropped: frozenset[int] | set[int], inside: int = 0, lists: bool = True) -> Iterator[str]:
+    """Texts of the blocks of a tree, in page order, without furniture and dropped hashes.
+
+    Without ``lists`` only dropped hashes go, and what no reader sees.
+    """
     held: list[str] = []
     # One stack instead of recursion: pages may nest without limit.
-    # Beside each node whether it is in a main part (1) or an article (2).
-    stack: list[tuple[Element | str | None, int]] = [(element, 2 * inside if element.tag == "article" else int(inside))]
+    stack: list[tuple[Element | str | None, int]] = [(element, inside)]
     while stack:
         node, inner = stack.pop()
         if isinstance(node, str):
             held.append(node)
             continue
         if node is not None:
-            if node is not element and (
-                node.boilerplate(inner > 0) and not wraps(node, inner)
-                or dropped and removable(node, inner > 0) and not dropped.isdisjoint(node.keys)
-            ):
+            if node is not element and goes(node, dropped, inner, element.chars, lists):
                 if node.tag in BLOCKS:
                     node = None
                 else:
@@ -153,7 +257,7 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
                 yield text
             held = []
         if node is not None:
-            inner = max(inner, 2 if node.tag == "article" else int(node.tag == "main"))
+            inner = max(inner, LEVEL.get(node.kind(), 0))
             if node.tag in BLOCKS:
                 stack.append((None, inner))
             stack.extend((child, inner) for child in reversed(node.children))
@@ -162,67 +266,82 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: bool =
         yield text
 
 
-def removable(node: Element, inside: bool) -> bool:
+def goes(node: Element, dropped: frozenset[int] | set[int], inside: int, whole: int, lists: bool = True) -> bool:
+    if dropped and (removable(node, inside) and not dropped.isdisjoint(node.keys) or node.shape in dropped and shaped(node, inside)):
+        return True
+    if lists:
+        return node.furniture(inside, whole)
+    return node.tag in RAW or node.tag == "head" or node.hidden()
+
+
+def removable(node: Element, inside: int) -> bool:
     """Whether a recurring subtree may go: in an article or main part only parts that hold others.
 
     Headings, paragraphs and the like in an article are its text, also where a sentence
     recurs on many pages. Rows, items and words in a line go only with what is around them.
     """
-    return node.tag in CONTAINERS or not inside and (node.tag in TEXTS or node.tag in DROPPED)
+    return not node.holds and (node.tag in CONTAINERS or not inside and (node.tag in TEXTS or node.tag in DROPPED))
 
 
-def wraps(node: Element, inner: int) -> bool:
-    """Whether a name is only that of a layout: what has it holds an article or main part.
+def shaped(node: Element, inside: int) -> bool:
+    """Whether a subtree may go because its shape recurs: in an article only if its name hints at it."""
+    return node.tag in CONTAINERS and not node.holds and (not inside or node.name() == "hint")
 
-    Inside an article (2) an article is a comment or teaser, so there names count.
-    """
-    if node.by_kind(inner > 0) or node.hidden():
-        return False
-    stack = [c for c in node.children if isinstance(c, Element)]
-    while stack:
-        part = stack.pop()
-        if part.by_kind(inner > 0) or part.hidden():
-            continue
-        if part.tag == "main" or part.tag == "article" and inner < 2:
-            return True
-        stack.extend(c for c in part.children if isinstance(c, Element))
-    return False
+
+def evidence(node: Element, whole: int) -> bool:
+    """Whether a part looks like furniture apart from its names: mostly links, or a little text that does not run."""
+    return bool(node.chars) and (2 * node.linked >= node.chars or not node.running and 5 * node.chars <= whole)
 
 
-def main_parts(root: Element) -> list[tuple[Element, bool]]:
-    """The visible articles of a page, or its main parts, or all of it.
+def main_parts(root: Element, dropped: frozenset[int] | set[int] = frozenset()) -> list[tuple[Element, int]]:
+    """The parts that the text is read from: 1 main parts, 2 articles, 0 the page.
 
-    Those in elements that are no main text by kind or name come after the others: an
-    article in a sidebar is a teaser, unless the page has no other. The first of these
-    choices that has text is taken.
+    The visible main parts; without any, the articles, unless the page has its heading and
+    paragraphs, or more running text, outside of them (then they are teasers beside it); without
+    these, the page. Parts inside furniture come after the others.
     """
-    found: dict[tuple[bool, str], list[Element]] = {(far, tag): [] for far in (False, True) for tag in ("article", "main")}
-    stack = [(root, False)]
+    found: dict[tuple[bool, str], list[Element]] = {(far, kind): [] for far in (False, True) for kind in ("main", "article")}
+    headings, running, outside = False, 0, 0
+    stack = [(root, False, "")]
     while stack:
-        node, far = stack.pop()
+        node, far, within = stack.pop()
         if node is not root:
-            if node.tag in RAW or node.hidden():
+            if node.tag in RAW or node.tag == "head" or node.hidden():
                 continue
-            far = far or node.boilerplate(False)
-        if (far, node.tag) in found:
-            found[far, node.tag].append(node)
-            # What is in an article is part of it, unless it is its comments; so with main parts.
-            if node.tag == "article":
-                continue
-        stack.extend((c, far) for c in reversed(node.children) if isinstance(c, Element))
-    for parts in found.values():
-        held = {id(p) for p in parts}
-        # A main part in another is read with it.
-        for p in parts:
-            below = [c for c in p.children if isinstance(c, Element)]
-            while below:
-                c = below.pop()
-                held.discard(id(c))
-                below.extend(x for x in c.children if isinstance(x, Element))
-        outer = [(p, True) for p in parts if id(p) in held]
-        if any(True for p, _ in outer for _ in blocks(p, frozenset(), True)):
-            return outer
-    return [(root, False)]
+            far = far or node.kind() not in ("main", "article") and goes(node, dropped, LEVEL.get(within, 0), root.chars)
+        kind = node.kind()
+        if kind in ("main", "article") and node.chars and within != kind and not (within and kind == "article"):
+            if not (within == "main" and kind == "main"):
+                found[far, kind].append(node)
+            within = kind
+        if not within and not far and node.tag in TEXTS:
+            outside += node.running
+            headings = headings or node.tag == "h1" and node.chars > 0
+            running = running or node.tag not in HEADINGS and node.running > 0
+        if within == "article":
+            # An article in an article is part of it.
+            continue
+        stack.extend((c, far, within) for c in reversed(node.children) if isinstance(c, Element))
+    for (far, kind), parts in found.items():
+        if not any(True for p in parts for _ in blocks(p, dropped, LEVEL[kind])):
+            continue
+        if kind == "article" and not far:
+            inner = sum(p.running for p in parts)
+            titled = headings and not any(_has_heading(p) for p in parts)
+            if running and (titled or outside > inner):
+                return [(root, 0)]
+        return [(p, LEVEL[kind]) for p in parts]
+    return [(root, 0)]
+
+
+def _has_heading(part: Element) -> bool:
+    stack = [part]
+    while stack:
+        node = stack.pop()
+        if node.tag == "h1":
+            return True
+        stack.extend(c for c in node.children if isinstance(c, Element))
+    return False
 
 
 def hash_subtrees(root: Element) -> None:
@@ -246,6 +365,15 @@ def hash_subtrees(root: Element) -> None:
                 h.update(b"\2" + child.hash.to_bytes(8, "little", signed=True))
         node.hash = int.from_bytes(h.digest(), "little", signed=True)
         node.keys = (node.hash,)
+        # What a subtree looks like without its texts; repeated items count once.
+        inner: list[str] = []
+        for child in node.children:
+            if isinstance(child, Element) and child.tag not in INLINE:
+                look = str(child.shape)
+                if not inner or inner[-1] != look:
+                    inner.append(look)
+        named = node.named()
+        node.shape = _mixed(0, f"{node.tag}|{' '.join(sorted(named))}|{' '.join(sorted(named.get('class', '').split()))}|{' '.join(inner)}")
     paths: list[tuple[Element, str]] = [(root, "")]
     while paths:
         around, path = paths.pop()
@@ -253,6 +381,8 @@ def hash_subtrees(root: Element) -> None:
         for at, node in enumerate(held):
             if node.tag in TEXTS:
                 node.keys = tuple(_mixed(node.hash, f"{path} {place}") for place in (at, at - len(held)))
+            # A shape counts in its place.
+            node.shape = _mixed(node.shape, path)
         # Depth is cut to a digest, as pages may nest without limit.
         paths.extend((c, _mixed_path(path, c.tag)) for c in held if c.children)
 
@@ -267,47 +397,29 @@ def _mixed_path(path: str, tag: str) -> str:
 
 
 
-def main_text(root: Element, dropped: frozenset[int] | set[int] = frozenset()) -> str:
-    return "\n".join(b for part, inside in main_parts(root) for b in blocks(part, dropped, inside))
-
-
-def holds_main(root: Element) -> set[int]:
-    """``id`` of the elements that hold a visible article or main part."""
-    out: set[int] = set()
-    stack: list[tuple[Element, tuple | None]] = [(root, None)]
-    while stack:
-        node, above = stack.pop()
-        chain = (id(node), above)
-        if node.tag in ("article", "main"):
-            while chain and chain[0] not in out:
-                out.add(chain[0])
-                chain = chain[1]
-            if node.tag == "article":
-                continue
-        stack.extend((c, chain) for c in node.children if isinstance(c, Element) and not c.hidden())
-    return out
+def main_text(root: Element, dropped: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
+    parts = main_parts(root, dropped) if lists else [(root, 0)]
+    return "\n".join(b for part, inside in parts for b in blocks(part, dropped, inside, lists))
 
 
 def candidates(root: Element) -> tuple[list[int], list[int], bool]:
-    """Keys of all subtrees of the page that may recur, and of those in its text that may go.
+    """Keys of all subtrees of the page that may be a template: navigation, adverts and footers too.
 
-    The first list covers the whole page: navigation, adverts and footers as well. The second
-    is of the parts that the text is read from, as to delete something elsewhere would not
-    change the text; with it stands whether these are articles or main parts.
+    Besides them, shapes that here hold running text, which counts against them, and whether the
+    text is read from articles or main parts.
     """
-    holds = holds_main(root)
-
-    def below(part: Element, within: bool, all: bool) -> Iterator[int]:
-        stack = [(c, within) for c in part.children if isinstance(c, Element)]
-        while stack:
-            node, inside = stack.pop()
-            if node.tag in RAW or node.tag == "head" or not all and node.hidden():
+    seen: set[int] = set()
+    against: set[int] = set()
+    stack = [(root, 0)]
+    while stack:
+        node, inside = stack.pop()
+        if node is not root:
+            if node.tag in RAW or node.tag == "head" or node.hidden():
                 continue
-            if id(node) not in holds and removable(node, inside):
-                yield from node.keys
-            inside = inside or node.tag in ("article", "main")
-            stack.extend((c, inside) for c in node.children if isinstance(c, Element))
-
-    parts = main_parts(root)
-    own = {key for part, inside in parts for key in below(part, inside, False)}
-    return sorted(set(below(root, False, True))), sorted(own), parts[0][1]
+            if removable(node, inside):
+                seen.update(node.keys)
+            if shaped(node, inside):
+                (seen if evidence(node, root.chars) else against).add(node.shape)
+        inside = max(inside, LEVEL.get(node.kind(), 0))
+        stack.extend((c, inside) for c in node.children if isinstance(c, Element))
+    return sorted(seen), sorted(against), main_parts(root)[0][1] > 0

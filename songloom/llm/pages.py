@@ -1,16 +1,20 @@
 """Main text of web pages: articles without what their site repeats.
 
 A page becomes a tree. Each page sends the hashes of its element subtrees, navigation,
-adverts and footers included; they are counted per host, over pages with different texts.
-Subtrees on ``LEAST_PAGES`` pages are a site's template and deleted from its pages, in an
-article or main part those on ``LEAST_INSIDE``, as a few articles may share a list or table.
+adverts and footers included; they are counted per host, over pages with different texts. As the
+entries of a menu differ from page to page, the shape of a subtree (kinds, attribute names and
+classes in it, and its place, without texts) counts as well, where it is mostly links or a little
+text that does not run; where the same shape holds running text, that counts against it.
+What recurs on ``LEAST_PAGES`` pages is a site's template and deleted from its pages, on those
+with an article or main part on ``LEAST_INSIDE``, as a few articles may share a list or table.
 These are absolute counts: what stands on so many pages goes on hosts of any size. Texts
 outside an article must recur in the same place, and paragraphs and headings of an article
-never go that way, so a sentence that many articles share stays.
+never go that way, so a sentence that many articles share stays; nor does a shape in an article,
+unless its name hints at furniture.
 
-Recurrence decides first, but sees only what is the same on several pages. So names and
-kinds of elements complement it: the text is read from the article, or the main part, or
-the body, and there without navigation, adverts, forms and the like.
+Recurrence decides first; kinds and names of elements decide what it can't see, on a host with a
+few pages. A name alone takes no part that holds most of the text, except for adverts and
+comments. The text is then read from the main part, or the articles, or the page.
 
 What is shuffled is a number per subtree, combined per task. Pages meet the templates as
 pairs of host and hash, with hot pairs spread over tasks, so no list of a host is in one
@@ -35,6 +39,7 @@ from songloom.operators.skew import join_unique
 
 LEAST_PAGES = 5
 LEAST_INSIDE = 10
+AGAINST = 10
 # Up to so many pages' lists of what goes are broadcast.
 BROADCAST_LISTS = 20_000
 
@@ -44,7 +49,7 @@ def host_of(url: str) -> Column:
 
 
 def _subtrees():
-    @F.arrow_udf("struct<body:long,seen:array<long>,own:array<long>,inside:boolean>")
+    @F.arrow_udf("struct<body:long,seen:array<long>,against:array<long>,inside:boolean>")
     def subtrees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
             bodies, lists = [], []
@@ -54,10 +59,10 @@ def _subtrees():
                 digest = hashlib.blake2b(main_text(root).encode("utf-8", "replace"), digest_size=8).digest()
                 bodies.append(int.from_bytes(digest, "little", signed=True))
                 lists.append(candidates(root))
-            seen, own, inside = zip(*lists) if lists else ((), (), ())
+            seen, against, inside = zip(*lists) if lists else ((), (), ())
             kind = pa.list_(pa.int64())
-            columns = [pa.array(bodies, pa.int64()), pa.array(seen, kind), pa.array(own, kind), pa.array(inside, pa.bool_())]
-            yield pa.StructArray.from_arrays(columns, ["body", "seen", "own", "inside"])
+            columns = [pa.array(bodies, pa.int64()), pa.array(seen, kind), pa.array(against, kind), pa.array(inside, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["body", "seen", "against", "inside"])
 
     return subtrees.asNondeterministic()
 
@@ -82,22 +87,29 @@ def page_key(html: str) -> Column:
 
 
 def subtrees_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, page, body, seen, own, inside`` per page, stored."""
+    """``host, page, body, seen, against, inside`` per page, stored."""
     found = pages.select(host_of(url).alias("host"), page_key(html).alias("page"), _subtrees()(text_of(html)).alias("x"))
     return stored(found.select("host", "page", "x.*"))
 
 
 def templates(found: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """``host, hash, pages``: subtrees that recur on a host, and on how many different pages."""
+    """``host, hash, pages``: subtrees and shapes that recur on a host, and on how many different pages.
+
+    A shape that holds running text on more than one page in ``AGAINST`` is none.
+    """
     # Copies of a page are one page here, or they would delete their own article.
-    each = found.select("host", "body", F.explode("seen").alias("hash")).distinct()
-    return each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+    votes = found.select("host", "body", F.explode("seen").alias("hash"), F.lit(1).alias("for")).unionByName(
+        found.select("host", "body", F.explode("against").alias("hash"), F.lit(0).alias("for"))
+    )
+    each = votes.groupBy("host", "body", "hash").agg(F.min("for").alias("for"))
+    counted = each.groupBy("host", "hash").agg(F.sum("for").alias("pages"), F.sum(1 - F.col("for")).alias("against"))
+    return counted.where((F.col("pages") >= least) & (AGAINST * F.col("against") <= F.col("pages"))).select("host", "hash", "pages")
 
 
 def lists_of_pages(found: DataFrame, least: int = LEAST_PAGES, inside: int = LEAST_INSIDE, **hot) -> DataFrame:
     """``host, page, hashes``: what goes from each different page, if anything; stored."""
     needed = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(least)).alias("needed")
-    mine = found.where(F.size("own") > 0).select("host", "page", needed, F.explode("own").alias("hash")).distinct()
+    mine = found.select("host", "page", needed, F.explode("seen").alias("hash")).distinct()
     met = join_unique(mine, stored(templates(found, min(least, inside))), ["host", "hash"], "inner", spread="page", **hot)
     often = met.where(F.col("pages") >= F.col("needed"))
     return stored(often.groupBy("host", "page").agg(F.collect_list("hash").alias("hashes")))

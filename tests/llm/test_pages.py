@@ -1,4 +1,8 @@
-from songloom.llm import pages
+import time
+
+import pytest
+
+from songloom.llm import markup, pages
 from songloom.llm.markup import main_text, parse
 
 SCHEMA = "page_id long, url string, html string"
@@ -41,6 +45,98 @@ def test_names_of_layouts_hide_no_article():
     assert text("<article> </article><main>In</main>") == "In"
 
 
+def test_teasers_do_not_replace_the_text():
+    assert text("<main><h1>T</h1><p>Body.</p><article>Teaser</article></main>") == "T\nBody.\nTeaser"
+    assert text("<body><h1>T</h1><p>Body one.</p>..<article>Related story</article></body>") == "T\nBody one.\n..\nRelated story"
+    assert text("<body><p>In our shop</p><article><h1>T</h1><p>A long story of its own.</p></article></body>") == "T\nA long story of its own."
+    assert text("<div role=main><p>In</p></div><p>Out</p>") == "In"
+
+
+def test_names_do_not_take_the_text():
+    assert text("<article><div class='entry related'>Body</div></article>") == "Body"
+    assert text("<article><div class='content widget'><p>Body</p></div></article>") == "Body"
+    assert text("<article><p>One</p><p class='banner'>Two</p><section id='share'><p>Three.</p></section></article>") == "One\nTwo\nThree."
+    assert text("<body><form id=aspnet><h1>T</h1><p>Body of the page.</p></form></body>") == "T\nBody of the page."
+
+
+def test_comments_and_furniture_go():
+    names = "reader-comments post-comments comments-section user-comment site-nav newsletter-signup advertising"
+    for name in [*names.split(), "readerComments", "siteNav", "ad-slot", "cookie-consent"]:
+        assert text(f"<body><article><h1>T</h1><p>The body of it.</p><div class='{name}'><p>First!</p></div></article></body>") == "T\nThe body of it."
+        assert text(f"<body><h1>T</h1><p>The body of it.</p><div class='x {name}'><p>First!</p></div></body>") == "T\nThe body of it."
+    # Comments go also where they are most of the page.
+    assert text("<article><p>Body</p><div class='comments'><p>A long comment on this and that.</p></div></article>") == "Body"
+    assert text("<article><p>A body.</p><ul class='social-share'><li><a>Tweet</a></ul></article>") == "A body."
+
+
+@pytest.mark.parametrize("open_", ["<div>", "<main><p>", "<ul><li>", "<table><tr><td>", "<article>", "<div class='sidebar'>", "<span>", "<li>", "<td>", "<p><b>"])
+def test_deep_pages_take_linear_time(open_):
+    n = 100_000 // len(open_.split("<")[1:])
+    start = time.process_time()
+    root = parse(open_ * n + "deep")
+    markup.hash_subtrees(root)
+    markup.candidates(root)
+    found = main_text(root)
+    assert time.process_time() - start < 30 and found in ("deep", "")
+
+
+def plain_templates(rows, least):
+    """Hosts, keys and shapes on enough different pages, counted page by page."""
+    pages_of, bodies = {}, set()
+    for _, url, html in rows:
+        root = parse(html)
+        markup.hash_subtrees(root)
+        host, body = url.split("/")[2].split(":")[0].lower(), main_text(root)
+        if (host, body) in bodies:
+            continue
+        bodies.add((host, body))
+        seen, against, _ = markup.candidates(root)
+        for key in {*seen, *against}:
+            votes = pages_of.setdefault((host, key), [0, 0])
+            votes[key in against] += 1
+    return {(h, k, n) for (h, k), (n, no) in pages_of.items() if n >= least and no * pages.AGAINST <= n}
+
+
+def site_pages():
+    """A site whose menu, box and foot differ on every page and have no telling names."""
+    def page(k):
+        menu = "".join(f"<li><a href='/{i}'>entry {k} {i}</a>" for i in range(3 + k % 4))
+        return (
+            f"<body><div class='x1'><ul>{menu}</ul></div><div class='x2'>Word {k} of today</div>"
+            f"<div class='x3'><p>Paragraph {k} of the story, which runs.</p><p>It goes on for {k} words and more of them.</p></div>"
+            f"<div class='x4'>Printed {k} times</div></body>"
+        )
+
+    return [(k, "http://site.example/a", page(k)) for k in range(12)] + [(100, "http://other.example/", page(3))]
+
+
+def test_shapes_that_recur_go(spark):
+    df = spark.createDataFrame(site_pages(), SCHEMA)
+    got = {r.page_id: r.text for r in pages.page_texts(df).collect()}
+    for k in range(12):
+        assert got[k] == f"Paragraph {k} of the story, which runs.\nIt goes on for {k} words and more of them."
+    # A host with one page shows no template.
+    assert got[100].startswith("entry 3 0") and got[100].endswith("Printed 3 times")
+
+
+def test_templates_against_counting_page_by_page(spark):
+    rows = site_pages() + [r for r in template_pages() if r[2]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for least in (2, 5):
+        found = {tuple(r) for r in pages.templates(pages.subtrees_of(df), least).collect()}
+        assert found == plain_templates(rows, least) and found
+
+
+def test_running_text_of_the_same_shape_stays(spark):
+    """Every page has its text in the same place and shape; short introductions as well."""
+    rows = [
+        (k, "http://s/", f"<body><div class=lead><p>Lead {k}.</p></div><div class=body><p>{'Long text. ' * 20}{k}</p></div></body>")
+        for k in range(30)
+    ]
+    got = {r.page_id: r.text for r in pages.page_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].startswith(f"Lead {k}.\nLong") for k in range(30))
+
+
 def test_hidden_is_an_attribute():
     kept = "<a title='The hidden cost'>a</a> <i class='box hidden md:block'>b</i> <i data-x='display: none'>c</i>"
     gone = "<i hidden>d</i><i class=x hidden=''>e</i><i style='color:red; display : none'>f</i><i aria-hidden=true>g</i>"
