@@ -28,7 +28,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 LEVEL = {"main": 1, "article": 2}
 # Bare text of so many characters counts as running text.
-LONG_TEXT = 100
+LONG_TEXT = 300
 DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas nav footer aside form button select textarea input"
     " menu dialog audio video map".split()
@@ -402,14 +402,16 @@ def main_text(root: Element, dropped: frozenset[int] | set[int] = frozenset(), l
     return "\n".join(b for part, inside in parts for b in blocks(part, dropped, inside, lists))
 
 
-def candidates(root: Element) -> tuple[list[int], list[int], bool]:
+def candidates(root: Element) -> tuple[list[int], list[int], list[int], bool]:
     """Keys of all subtrees of the page that may be a template: navigation, adverts and footers too.
 
-    Besides them, shapes that here hold running text, which counts against them, and whether the
-    text is read from articles or main parts.
+    Besides them, shapes that here hold running text or most of the page, which counts against
+    them, and shapes of which this page says nothing; then whether the text is read from
+    articles or main parts.
     """
     seen: set[int] = set()
     against: set[int] = set()
+    open_: set[int] = set()
     stack = [(root, 0)]
     while stack:
         node, inside = stack.pop()
@@ -419,7 +421,8 @@ def candidates(root: Element) -> tuple[list[int], list[int], bool]:
             if removable(node, inside):
                 seen.update(node.keys)
             if shaped(node, inside):
-                (seen if evidence(node, root.chars) else against).add(node.shape)
+                for_ = evidence(node, root.chars)
+                (seen if for_ else against if node.running or 2 * node.chars > root.chars else open_).add(node.shape)
         inside = max(inside, LEVEL.get(node.kind(), 0))
         stack.extend((c, inside) for c in node.children if isinstance(c, Element))
-    return sorted(seen), sorted(against), main_parts(root)[0][1] > 0
+    return sorted(seen), sorted(against), sorted(open_ - seen - against), main_parts(root)[0][1] > 0

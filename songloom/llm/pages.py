@@ -49,7 +49,7 @@ def host_of(url: str) -> Column:
 
 
 def _subtrees():
-    @F.arrow_udf("struct<body:long,seen:array<long>,against:array<long>,inside:boolean>")
+    @F.arrow_udf("struct<body:long,seen:array<long>,against:array<long>,open:array<long>,inside:boolean>")
     def subtrees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
             bodies, lists = [], []
@@ -59,10 +59,10 @@ def _subtrees():
                 digest = hashlib.blake2b(main_text(root).encode("utf-8", "replace"), digest_size=8).digest()
                 bodies.append(int.from_bytes(digest, "little", signed=True))
                 lists.append(candidates(root))
-            seen, against, inside = zip(*lists) if lists else ((), (), ())
+            seen, against, open_, inside = zip(*lists) if lists else ((), (), (), ())
             kind = pa.list_(pa.int64())
-            columns = [pa.array(bodies, pa.int64()), pa.array(seen, kind), pa.array(against, kind), pa.array(inside, pa.bool_())]
-            yield pa.StructArray.from_arrays(columns, ["body", "seen", "against", "inside"])
+            columns = [pa.array(bodies, pa.int64()), pa.array(seen, kind), pa.array(against, kind), pa.array(open_, kind), pa.array(inside, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["body", "seen", "against", "open", "inside"])
 
     return subtrees.asNondeterministic()
 
@@ -87,7 +87,7 @@ def page_key(html: str) -> Column:
 
 
 def subtrees_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, page, body, seen, against, inside`` per page, stored."""
+    """``host, page, body, seen, against, open, inside`` per page, stored."""
     found = pages.select(host_of(url).alias("host"), page_key(html).alias("page"), _subtrees()(text_of(html)).alias("x"))
     return stored(found.select("host", "page", "x.*"))
 
@@ -109,7 +109,7 @@ def templates(found: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
 def lists_of_pages(found: DataFrame, least: int = LEAST_PAGES, inside: int = LEAST_INSIDE, **hot) -> DataFrame:
     """``host, page, hashes``: what goes from each different page, if anything; stored."""
     needed = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(least)).alias("needed")
-    mine = found.select("host", "page", needed, F.explode("seen").alias("hash")).distinct()
+    mine = found.select("host", "page", needed, F.explode(F.concat("seen", "open")).alias("hash")).distinct()
     met = join_unique(mine, stored(templates(found, min(least, inside))), ["host", "hash"], "inner", spread="page", **hot)
     often = met.where(F.col("pages") >= F.col("needed"))
     return stored(often.groupBy("host", "page").agg(F.collect_list("hash").alias("hashes")))

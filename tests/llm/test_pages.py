@@ -90,7 +90,7 @@ def plain_templates(rows, least):
         if (host, body) in bodies:
             continue
         bodies.add((host, body))
-        seen, against, _ = markup.candidates(root)
+        seen, against, *_ = markup.candidates(root)
         for key in {*seen, *against}:
             votes = pages_of.setdefault((host, key), [0, 0])
             votes[key in against] += 1
