@@ -288,7 +288,9 @@ def _judged(model: Model):
 
 def judged(held: DataFrame, model: Model, threshold: float = 0.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, key, score, predicted, evidence`` of every row of ``counted``."""
-    vectors = held.select("numbers", "counts").distinct()
+    # Small to move and slow to score: dealt to as many tasks as there are.
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = held.select("numbers", "counts").distinct().repartition(tasks)
     scores = stored(vectors.withColumn("x", _judged(model)("numbers", "counts")).select("numbers", "counts", "x.*"))
     found = join_unique(held, scores, ["numbers", "counts"], spread="key", hot_rows=hot_rows)
     return found.select("doc_id", "key", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
