@@ -14,8 +14,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from songloom.operators.scratch import kept, with_block
+
 SCORE_DIGITS = 9
 # Query vectors sent to every task at once. More queries take more passes over the index.
 BLOCK_BYTES = 16 << 20
@@ -40,7 +43,7 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def query_sizes(queries: DataFrame) -> list[Row]:
     """``model, n, dim``: how many query vectors of which length there are."""
     dim = F.size("embedding").alias("dim")
-    return queries.where(_has_direction()).groupBy("model", dim).agg(F.count(F.lit(1)).alias("n")).collect()
+    return queries.where(_has_direction() & (F.size("embedding") > 0)).groupBy("model", dim).agg(F.count(F.lit(1)).alias("n")).collect()
 
 
 def _has_direction() -> Column:
@@ -67,55 +70,59 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the best ``k`` per query.
 
-    The queries are counted first, unless ``sizes`` says it, and cut into blocks of checked
-    size; each block is broadcast, takes one pass over the index and one matrix product per
-    Arrow batch. Only ids and vectors take part.
+    Queries are stored and counted first, unless ``sizes`` says that they are, and cut into
+    blocks of checked size. A block is broadcast by Spark, takes one pass over the index and
+    one matrix product per Arrow batch. Of several blocks, each leaves its ranks as a stored
+    table before the next one starts, so one is in memory at a time.
     """
     if sizes is None:
+        queries = kept(queries.select("query_id", "model", "embedding", "norm"))
         sizes = query_sizes(queries)
-    scored = [
-        _block_scores(block, index, row.model, row.dim, k)
-        for row in sizes
-        # A block's size counts the hits that a task holds for it, too.
-        for block in _blocks(queries, row.model, row.dim, row.n, max(1, block_bytes // (8 * row.dim + 64 * min(k, OWN_CUT) + 1)))
-    ]
-    if not scored:
+    # A block's size counts the hits that a task holds for it, too.
+    parts = {row: -(-2 * row.n // most) if row.n > (most := max(1, block_bytes // (8 * row.dim + 64 * min(k, OWN_CUT) + 1))) else 1 for row in sizes}
+    found = []
+    for row, blocks in parts.items():
+        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        packed = comparable(queries, row.model, row.dim).groupBy(number.alias("number")).agg(
+            F.collect_list(F.struct("query_id", "embedding", "norm")).alias("block")
+        )
+        packed = kept(packed) if blocks > 1 else packed
+        for i in range(blocks):
+            best = _ranked(_block_scores(packed.where(F.col("number") == i), index, row.model, row.dim, k), k)
+            found.append(best if sum(parts.values()) == 1 else kept(best))
+    if not found:
         none = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
         return _ranked(index.where("false").select(none, "id", F.lit(0.0).alias("score")), k)
-    return _ranked(reduce(DataFrame.unionByName, scored), k)
-
-
-def _blocks(queries: DataFrame, model: str, dim: int, n: int, rows: int) -> Iterator[DataFrame]:
-    """The queries of a model in parts of about half of ``rows``."""
-    mine = comparable(queries, model, dim).select("query_id", "embedding", "norm")
-    if n <= rows:
-        yield mine
-        return
-    parts = -(-2 * n // rows)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    for i in range(parts):
-        yield mine.where(part == i)
+    # A query may have vectors of several models.
+    return found[0] if len(parts) == 1 == len(found) else _ranked(reduce(DataFrame.unionByName, found), k)
 
 
 def _block_scores(block: DataFrame, index: DataFrame, model: str, dim: int, k: int) -> DataFrame:
-    table = block.toArrow()
-    spark = index.sparkSession
-    types = {f.name: f.dataType.simpleString() for f in block.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in block.schema["block"].dataType.elementType.fields}
     id_type = index.schema["id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(
-        (table["query_id"].combine_chunks(), _unit_rows(table["embedding"], table["norm"]).T.copy())
-    )
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors = shared.value
-        best = _Best(k, vectors.shape[1])
-        step = max(1, SCORE_CELLS // max(1, vectors.shape[1]))
+        best = None
         for batch in batches:
-            for start in range(0, batch.num_rows if vectors.size else 0, step):
-                part = batch.slice(start, step)
-                rows = _unit_rows(part["embedding"], part["norm"])
-                scores = np.clip(rows @ vectors, -1.0, 1.0)
+            if best is None:
+                held = batch["block"].slice(0, 1).flatten()
+                if not len(held):
+                    return
+                query_ids = held.field("query_id")
+                vectors = _unit_rows(held.field("embedding"), held.field("norm")).T.copy()
+                best = _Best(k, vectors.shape[1])
+                step = max(1, SCORE_CELLS // vectors.shape[1])
+            # What can't be compared is left out here: as a filter of the plan it would be
+            # moved below the encoder, which then ran twice.
+            norms = batch["norm"].to_numpy(zero_copy_only=False)
+            fits = np.isfinite(norms.astype(float)) & (pc.fill_null(batch["embedding"].value_lengths(), -1).to_numpy() == dim)
+            rows = batch.select(["id", "embedding", "norm"]).filter(pa.array(fits))
+            for start in range(0, rows.num_rows, step):
+                part = rows.slice(start, step)
+                scores = np.clip(_unit_rows(part["embedding"], part["norm"]) @ vectors, -1.0, 1.0)
                 best.add(np.round(scores, SCORE_DIGITS), part["id"])
+        if best is None:
+            return
         at, ids, scores = best.rows()
         if len(at):
             yield pa.RecordBatch.from_arrays(
@@ -123,7 +130,7 @@ def _block_scores(block: DataFrame, index: DataFrame, model: str, dim: int, k: i
                 names=["query_id", "id", "score"],
             )
 
-    narrow = comparable(index, model, dim).select("id", "embedding", "norm")
+    narrow = with_block(index.where(F.col("model") == model).select("id", "embedding", "norm"), block)
     schema = f"query_id {types['query_id']}, id {id_type}, score double"
     return narrow.mapInArrow(best_of_task, schema)
 

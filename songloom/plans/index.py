@@ -11,6 +11,7 @@ from songloom.functions.vectors import match_percent
 from songloom.operators.documents import documents, found_songs
 from songloom.operators.encoders import Encoder, encode
 from songloom.operators.ordering import checked_limit
+from songloom.operators.scratch import kept
 from songloom.operators.similarity import query_sizes, top_k
 from songloom.operators.skew import join_unique
 from songloom.operators.upsert import upsert
@@ -77,7 +78,7 @@ def search(
         texts = index.sparkSession.createDataFrame(
             list(enumerate(texts)), "query_id bigint, text string"
         )
-    queries = query_vectors(texts, encoder)
+    queries = kept(query_vectors(texts, encoder))
     sizes = query_sizes(queries)
     hits = top_k(queries, index, count, sizes=sizes)
     return results(hits, index, encoder.model, count * sum(row.n for row in sizes))

@@ -33,6 +33,7 @@ def local_session(app: str = "songloom", cores: int | str = "*", **extra: str) -
         "spark.ui.enabled": "false",
         **extra,
     }
+    settings.setdefault("spark.checkpoint.dir", _own_dir())
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

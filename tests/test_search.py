@@ -122,6 +122,17 @@ def test_deep_results_are_cut_in_two_levels(spark, monkeypatch):
     assert sorted(map(tuple, top_k(queries, index, 50).collect())) == want
 
 
+def test_texts_are_encoded_once_and_after_the_spread(spark):
+    """No filter of the plan copies the encoder, and no row of queries goes along with rows of the index."""
+    texts = spark.createDataFrame([(i, f"rain {i} sun") for i in range(40)], "id bigint, text string").repartition(5)
+    index = encode(texts, ENCODER, "text").drop("text")
+    hits = top_k(plans_index.query_vectors(texts.withColumnRenamed("id", "query_id"), ENCODER), index, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION")
+    assert hits.count() == 120
+
+
 def test_models_do_not_meet(spark):
     _, index = vectors(spark, 20)
     queries = index.withColumnRenamed("id", "query_id").withColumn("model", F.lit("other"))
