@@ -24,6 +24,7 @@ from songloom.operators.listings import (
 )
 from songloom.operators.lookup import look_up
 from songloom.operators.ordering import first_n, last_per_key
+from songloom.operators.postings import search_records, stored_postings
 from songloom.operators.similarity import top_k
 from songloom.plans import index as indexing
 from songloom.session import shared_dir
@@ -662,6 +663,16 @@ def lyric_keyword_search(spark, sf_dir):
     )
 
 
+@query(_WORD_SQL.replace(f"(VALUES {_WORD_ROWS})", "(SELECT item_id, text FROM benchmark)") + """
+  SELECT query_id, rank, score, id, name, artist, md5(plain_lyrics) AS plain_lyrics_md5
+  FROM ranked JOIN r USING (id) WHERE rank <= 10""")
+def keyword_batch(spark, sf_dir):
+    records = proxies.records(spark, sf_dir)
+    asked = proxies.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search_records(records, stored_postings(records), asked, 10)
+    return found.select("query_id", "rank", "score", "id", "name", "artist", digest("plain_lyrics"))
+
+
 @query(_WORD_SQL + """
   SELECT query_id, rank, name, artist, album,
     CASE WHEN coalesce(plain_lyrics, '') <> '' THEN 'yes' ELSE 'no' END AS lyrics,
