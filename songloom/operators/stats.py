@@ -11,15 +11,18 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
+#: Counts of cache entries, as SQL; those of parts of a cache add up.
+CACHE_COUNTS = {
+    "total": "count(1)",
+    "with_lyrics": "count_if(coalesce(lyrics_found, false) and not coalesce(instrumental, false))",
+    "instrumental": "count_if(coalesce(instrumental, false))",
+    "not_found": "count_if(not coalesce(lyrics_found, false))",
+}
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """Entries, with lyrics, instrumental (found or not), not found."""
-    found, instrumental = _flag("lyrics_found"), _flag("instrumental")
-    return cache.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(found & ~instrumental).alias("with_lyrics"),
-        F.count_if(instrumental).alias("instrumental"),
-        F.count_if(~found).alias("not_found"),
-    )
+    return cache.agg(*[F.expr(value).alias(name) for name, value in CACHE_COUNTS.items()])
 
 
 def index_input_counts(cache: DataFrame) -> DataFrame:
@@ -74,8 +77,8 @@ def store_info(current: DataFrame, names: tuple[str, ...]) -> DataFrame:
     )
 
 
-def status_report(info: DataFrame, cache: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Everything stored, as ``section, metric, value`` rows."""
+def status_report(info: DataFrame, cache_counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Everything stored, as ``section, metric, value`` rows; ``cache_counts`` is one row."""
 
     def rows(df: DataFrame, section: Column, *metrics: str) -> DataFrame:
         pairs = F.array(*[
@@ -87,6 +90,6 @@ def status_report(info: DataFrame, cache: DataFrame, sizes: DataFrame) -> DataFr
     stored = info.withColumn("fetched", fetch_date(F.col("fetched_at")))
     return (
         rows(stored, F.col("source"), "count", "fetched")
-        .unionByName(rows(cache_stats(cache), F.lit("cache"), "total", "with_lyrics", "instrumental", "not_found"))
+        .unionByName(rows(cache_counts, F.lit("cache"), *CACHE_COUNTS))
         .unionByName(rows(sizes, F.concat(F.lit("index "), "model"), "collection_size"))
     )

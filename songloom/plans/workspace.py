@@ -15,7 +15,6 @@ from songloom.operators.enrich import (
     enrich,
     fetch_lyrics,
     run_summary,
-    save_to_cache,
 )
 from songloom.operators.keyword import keyword_search
 from songloom.operators.library import (
@@ -28,9 +27,10 @@ from songloom.operators.library import (
 from songloom.operators.listings import list_liked, list_plays
 from songloom.operators.lookup import best_record
 from songloom.operators.ordering import first_n, last_per_key
-from songloom.operators.stats import cache_stats, index_run_stats, store_info, status_report
+from songloom.operators.stats import CACHE_COUNTS, index_run_stats, store_info, status_report
 from songloom.operators.upsert import upsert
 from songloom.plans import index as indexing
+from songloom.sources.buckets import BucketedTable
 from songloom.sources.landed import (
     normalize_liked,
     normalize_lyrics,
@@ -57,6 +57,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.tables = TableStore(spark, root)
+        self._cache = BucketedTable(self.tables, CACHE, schemas.CACHE, CACHE_COUNTS)
 
     # load ---------------------------------------------------------------------------
 
@@ -98,7 +99,12 @@ class Workspace:
         columns = [c for c in lyrics.columns if c != "id"]
         own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(*columns), 2)
         known = lyrics.withColumn("id", F.coalesce("id", own))
-        return self.tables.publish(last_per_key(known, ("id",), columns), LYRICS)
+        return self.store_lyrics(last_per_key(known, ("id",), columns))
+
+    def store_lyrics(self, lyrics: DataFrame) -> Row:
+        """Store records in order of their song key, so that a lookup reads the files around its key."""
+        keyed = lyrics.withColumn("key", song_key(F.col("name"), F.col("artist")))
+        return self.tables.publish(keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), LYRICS)
 
     def rejected_pages(self) -> DataFrame:
         """Pages of the last load of each source that could not be read."""
@@ -150,36 +156,53 @@ class Workspace:
     # lyrics -------------------------------------------------------------------------
 
     def lyrics(self) -> DataFrame:
-        return self.tables.read(LYRICS, schemas.LYRICS)
+        return self.tables.read(LYRICS, schemas.KEYED_LYRICS).drop("key")
 
     def cache(self) -> DataFrame:
-        return self.tables.read(CACHE, schemas.CACHE)
+        return self._cache.read()
+
+    def _key(self, track: str, artist: str) -> str:
+        return self.spark.range(1).select(song_key(F.lit(track), F.lit(artist))).first()[0]
 
     def cached_lyrics(self, track: str, artist: str) -> Row | None:
-        """The cache entry of one song."""
-        return self.cache().where(F.col("key") == song_key(F.lit(track), F.lit(artist))).first()
+        """The cache entry of one song, from the bucket of its key."""
+        return self._cache.read_key(self._key(track, artist)).first()
 
     def get_lyrics(
         self, track: str, artist: str, album: str = "", duration: int | None = None
     ) -> Row | None:
         """The best lyric record for one song, None if there is none."""
+        return self.lyrics_for(track, artist, album, duration).first()
+
+    def lyrics_for(
+        self, track: str, artist: str, album: str = "", duration: int | None = None
+    ) -> DataFrame:
+        """The best lyric record for one song, as a table of one row or none.
+
+        Only files whose range of keys has the song's are read.
+        """
         asked = self.spark.createDataFrame(
             [(track, artist, album, duration)],
             "track string, artist string, lookup_album string, lookup_seconds bigint",
         )
         key = song_key(F.col("track"), F.col("artist")).alias("key")
         lookup = asked.select(key, "lookup_album", "lookup_seconds")
-        return best_record(lookup, self.lyrics(), hot_rows=None).first()
+        records = self.tables.read(LYRICS, schemas.KEYED_LYRICS)
+        records = records.where(F.col("key") == self._key(track, artist)).drop("key")
+        return best_record(lookup, records, hot_rows=None)
 
     def fetch_lyrics(self, source: str = "auto") -> DataFrame:
         """Lyrics for the library, past the cache."""
         songs, mapping = self.library(source)
         return fetch_lyrics(songs, self.lyrics(), mapping)
 
-    def save_lyrics(self, saved: DataFrame) -> Row:
-        """Put entries into the cache, in the order of ``seq``; the last of a key stays."""
+    def save_lyrics(self, saved: DataFrame) -> int:
+        """Put entries into the cache, in the order of ``seq``; the last of a key stays.
+
+        Returns how many of the cache's buckets were written.
+        """
         keyed = saved.withColumn("key", song_key(F.col("track_name"), F.col("artist_name")))
-        return self.tables.publish(save_to_cache(self.cache(), keyed), CACHE)
+        return self._cache.save(last_per_key(keyed))
 
     def enrich(
         self,
@@ -195,11 +218,8 @@ class Workspace:
         run = enrich(
             songs, cache, self.lyrics(), mapping, limit, new, force, unique, keep=self._keep
         )
-        if force:
-            self.tables.publish(upsert(cache, run.delta, ["key"]), CACHE)
-        else:
-            # The lookups were of keys that the cache did not have.
-            self.tables.publish(run.delta, CACHE, append=True)
+        # Without force, the lookups were of keys that the cache did not have.
+        self._cache.save(run.delta, new_keys=not force)
         return run
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -208,7 +228,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(*stored.paths)
 
     def clear_cache(self) -> int:
-        return self.tables.clear(CACHE, schemas.CACHE)
+        return self._cache.clear()
 
     def search_lyrics(self, query: str, limit: int = 5) -> DataFrame:
         return keyword_search(self.lyrics(), query, limit)
@@ -263,7 +283,8 @@ class Workspace:
         return store_info(self.tables.current(), (LIKED_SOURCE, PLAYS_SOURCE))
 
     def cache_stats(self) -> DataFrame:
-        return cache_stats(self.cache())
+        """Counts of the cache, from those of its folders."""
+        return self._cache.totals()
 
     def status(self) -> DataFrame:
         """Stored lists, cache and index in one report."""
@@ -271,7 +292,7 @@ class Workspace:
         sizes = current.where(F.col("name") == INDEX).select(
             F.col("part").alias("model"), F.col("n").alias("collection_size")
         )
-        return status_report(self.store_info(), self.cache(), sizes)
+        return status_report(self.store_info(), self.cache_stats(), sizes)
 
     def summary(self, run: Enrichment) -> DataFrame:
         return run_summary(run.songs)

@@ -27,8 +27,10 @@ from songloom.operators.ordering import first_n, last_per_key
 from songloom.operators.postings import search_records, stored_postings
 from songloom.operators.similarity import top_k
 from songloom.plans import index as indexing
+from songloom.plans.workspace import LOAD_SOURCES, NothingStored, Workspace
 from songloom.session import shared_dir
 from songloom.sources import landed
+from songloom.sources.buckets import BucketedTable
 from songloom.sources.tables import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,6 +284,23 @@ def lyric_lookup_best(spark, sf_dir):
     )
 
 
+@query(sql("liked records best", """
+  SELECT record_id AS id, liked.name, plain_lyrics, instrumental
+  FROM best JOIN liked USING (seq) WHERE seq = (SELECT min(seq) FROM best)"""))
+def lookup_stored(spark, sf_dir):
+    """One song, looked up in records that are stored by key."""
+    records = proxies.records(spark, sf_dir)
+    music = Workspace(spark, shared_dir(spark))
+    music.store_lyrics(records.drop("labelled"))
+    songs = with_lookup(proxies.liked(spark, sf_dir), LIKED_SOURCE)
+    keys = records.select(tx.song_key(F.col("name"), F.col("artist")).alias("key")).distinct()
+    song = songs.join(keys, "key", "left_semi").orderBy("seq").first()
+    if song is None:
+        return music.lyrics().where("false").select("id", "name", "plain_lyrics", "instrumental")
+    found = music.lyrics_for(song.name, song.primary_artist, song.lookup_album, song.lookup_seconds)
+    return found.select("id", "name", "plain_lyrics", "instrumental")
+
+
 @query(sql("liked records best forced", """
   SELECT seq, md5(plain_lyrics) AS plain_lyrics_md5, instrumental, lyrics_found FROM forced"""))
 def fetch_lyrics(spark, sf_dir):
@@ -402,6 +421,18 @@ def cache_upsert(spark, sf_dir):
     return after.select(*_ENTRY, digest("plain_lyrics"))
 
 
+def _stored_cache(spark) -> BucketedTable:
+    return BucketedTable(_store(spark), "lyrics_cache", schemas.CACHE, stats.CACHE_COUNTS)
+
+
+@query(ORACLES["cache_upsert"])
+def cache_saved_twice(spark, sf_dir):
+    stored = _stored_cache(spark)
+    stored.save(proxies.cache(spark, sf_dir))
+    stored.save(last_per_key(proxies.delta(spark, sf_dir)))
+    return stored.read().select(*_ENTRY, digest("plain_lyrics"))
+
+
 @query(sql("records cache", """
   SELECT count(*) AS total, count(*) FILTER (lyrics_found AND NOT instrumental) AS with_lyrics,
     count(*) FILTER (instrumental) AS instrumental,
@@ -450,9 +481,13 @@ def store_info(spark, sf_dir):
   UNION ALL SELECT 'index hashing-64', 'collection_size', CAST(count(*) AS VARCHAR) FROM docs"""))
 def status_report(spark, sf_dir):
     info = stats.store_info(_stored_lists(spark, sf_dir).current(), (LIKED_SOURCE, PLAYS_SOURCE))
-    cache = proxies.cache(spark, sf_dir)
-    sizes = stats.index_sizes(indexing.index_rows(found_songs(cache), ENCODER))
-    return stats.status_report(info, cache, sizes).where("metric <> 'fetched'")
+    cache = _stored_cache(spark)
+    # Half of the cache at a time: the counts of both are those of the folders written.
+    for part in (0, 1):
+        half = proxies.cache(spark, sf_dir).where(F.pmod(F.xxhash64("key"), F.lit(2)) == part)
+        cache.save(half, new_keys=True)
+    sizes = stats.index_sizes(indexing.index_rows(found_songs(cache.read()), ENCODER))
+    return stats.status_report(info, cache.totals(), sizes).where("metric <> 'fetched'")
 
 
 @query(sql("liked", " SELECT seq, id, key, name, album, duration_ms FROM liked"))
@@ -893,3 +928,88 @@ def time_parsing(spark, sf_dir):
         F.date_format(unix_time(seconds), "yyyy-MM-dd HH:mm:ss").alias("played_at"),
         tx.fetch_date(iso_time(text)).alias("day"),
     )
+
+
+# Choices and empty stores ------------------------------------------------------------
+
+_PLAY_KEY = "lower(trim(event_type)) || '||user ' || CAST(user_id AS VARCHAR)"
+_SONGS = f"""
+  WITH n(source, songs) AS (
+    SELECT 'spotify', (SELECT count(*) FROM part)
+    UNION ALL SELECT 'lastfm', (SELECT count(DISTINCT {_PLAY_KEY}) FROM events)
+    UNION ALL SELECT 'both', (SELECT count(DISTINCT key) FROM (
+      SELECT {KEY.format('p_name', 'p_brand')} AS key FROM part UNION ALL SELECT {_PLAY_KEY} FROM events)))"""
+
+
+def _loaded(spark, sf_dir, source: str) -> Workspace:
+    music = Workspace(spark, shared_dir(spark))
+    music.load(source, _liked_pages(proxies.table(spark, sf_dir, "part")), _play_pages(spark, sf_dir))
+    return music
+
+
+@query(_SONGS + """
+  SELECT 'spotify' AS loaded, source, songs FROM n WHERE source = 'spotify'
+  UNION ALL SELECT 'lastfm', source, songs FROM n WHERE source = 'lastfm'
+  UNION ALL SELECT 'all', source, songs FROM n WHERE source <> 'both'""")
+def load_choice(spark, sf_dir):
+    """What is stored after loading one source, the other, or both."""
+    rows = []
+    for source in LOAD_SOURCES:
+        music = _loaded(spark, sf_dir, source)
+        rows += [(source, name, music.tables.entry(name).n) for name in music.stored_sources()]
+    return spark.createDataFrame(rows, "loaded string, source string, songs bigint")
+
+
+@query(_SONGS + """, choices(loaded, asked, source) AS (VALUES
+    ('spotify', 'auto', 'spotify'), ('spotify', 'both', 'both'), ('spotify', 'spotify', 'spotify'), ('spotify', 'lastfm', NULL),
+    ('lastfm', 'auto', 'lastfm'), ('lastfm', 'both', 'both'), ('lastfm', 'spotify', NULL), ('lastfm', 'lastfm', 'lastfm'),
+    ('all', 'auto', 'both'), ('all', 'both', 'both'), ('all', 'spotify', 'spotify'), ('all', 'lastfm', 'lastfm')),
+  unique_liked AS (SELECT count(DISTINCT """ + KEY.format("p_name", "p_brand") + """) AS k FROM part)
+  SELECT loaded, asked, source, CASE
+    WHEN source = 'both' AND loaded = 'spotify' THEN (SELECT k FROM unique_liked)
+    WHEN source = 'both' AND loaded = 'lastfm' THEN (SELECT songs FROM n WHERE n.source = 'lastfm')
+    ELSE (SELECT songs FROM n WHERE n.source = choices.source) END AS songs
+  FROM choices""")
+def library_auto(spark, sf_dir):
+    """The library that each choice comes to, by what is stored; none where it is not."""
+    rows = []
+    for loaded in LOAD_SOURCES:
+        music = _loaded(spark, sf_dir, loaded)
+        for asked in ("auto", "both", LIKED_SOURCE, PLAYS_SOURCE):
+            try:
+                rows.append((loaded, asked, music.effective_source(asked), music.library(asked)[0].count()))
+            except NothingStored:
+                rows.append((loaded, asked, None, None))
+    return spark.createDataFrame(rows, "loaded string, asked string, source string, songs bigint")
+
+
+@query("SELECT item_id AS query_id, 0 AS rank, text AS track_name FROM benchmark WHERE false")
+def search_empty_index(spark, sf_dir):
+    asked = proxies.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = Workspace(spark, shared_dir(spark)).search(asked, 5, ENCODER)
+    return found.select("query_id", "rank", "track_name")
+
+
+@query(sql("records cache found docs", """
+  SELECT count(*) AS indexed, count(*) AS cleared, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS cleared_again FROM docs"""))
+def index_cleared(spark, sf_dir):
+    """An index filled, opened by its size, cleared, and cleared once more."""
+    music = Workspace(spark, shared_dir(spark))
+    music.tables.publish(_index(spark, sf_dir, found_songs(proxies.cache(spark, sf_dir))), "index", ENCODER.model)
+    counts = (music.index_size(ENCODER.model), music.clear_index(ENCODER.model), music.index(ENCODER.model).count())
+    row = (*counts, music.clear_index(ENCODER.model))
+    return spark.createDataFrame([row], "indexed bigint, cleared bigint, size bigint, cleared_again bigint")
+
+
+@query(sql("records cache", """
+  SELECT count(*) AS cached, 'no cached song has lyrics to index' AS reason FROM cache WHERE NOT lyrics_found"""))
+def nothing_to_index(spark, sf_dir):
+    """A cache of songs without lyrics, and what indexing it says."""
+    music = Workspace(spark, shared_dir(spark))
+    missing = proxies.cache(spark, sf_dir).where("not lyrics_found").withColumn("seq", F.lit(0).cast("bigint"))
+    music.save_lyrics(missing)
+    try:
+        reason = str(music.build_index(ENCODER))
+    except NothingStored as nothing:
+        reason = str(nothing)
+    return music.cache_stats().select(F.col("total").alias("cached"), F.lit(reason).alias("reason"))

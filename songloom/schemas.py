@@ -40,6 +40,7 @@ LYRICS = (
     "id bigint, name string, artist string, album string, duration double,"
     " instrumental boolean, plain_lyrics string, synced_lyrics string"
 )
+KEYED_LYRICS = f"{LYRICS}, key string"
 CACHE = (
     "key string, track_name string, artist_name string, plain_lyrics string,"
     " synced_lyrics string, instrumental boolean, lyrics_found boolean"

@@ -49,14 +49,17 @@ class TableStore:
     def read(self, name: str, schema: str, part: str = "") -> DataFrame:
         """The newest snapshot, an empty table if there is none."""
         entry = self.entry(name, part)
-        if entry is None:
+        if entry is None or not entry.paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*entry.paths)
 
+    def entries(self, name: str) -> list[Row]:
+        """Manifest rows of the newest snapshots of all parts of a table."""
+        return self.current().where(F.col("name") == name).collect()
+
     def read_parts(self, name: str, schema: str) -> DataFrame:
         """The newest snapshots of all parts together."""
-        parts = self.current().where(F.col("name") == name).collect()
-        paths = [path for row in parts for path in row.paths]
+        paths = [path for row in self.entries(name) for path in row.paths]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
@@ -77,6 +80,25 @@ class TableStore:
         n = self.spark.read.schema(df.schema).parquet(path).count()
         return self._commit(name, part, [path], n, append)
 
+    def fresh(self, name: str) -> str:
+        """A folder for an attempt to write something that ``commit_parts`` will name."""
+        return f"{self.root}/{name}/snapshot=parts-{uuid.uuid4().hex}"
+
+    def commit_parts(self, name: str, parts: dict[str, tuple[str | None, int]], append: bool) -> None:
+        """Make one folder each (or none), with its count, the newest snapshot of several parts at once."""
+        if not parts:
+            return
+        last = {row.part: row for row in self.entries(name)}
+        now, rows = datetime.now(timezone.utc), []
+        for part, (path, n) in parts.items():
+            before = last.get(part)
+            paths = [] if path is None else [path]
+            if append and before is not None:
+                paths, n = [*before.paths, *paths], before.n + n
+            rows.append((name, part, 1 if before is None else before.snapshot + 1, paths, now, n))
+        commit = self.spark.createDataFrame(rows, schemas.MANIFEST)
+        commit.coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
+
     def attach(self, stored: Row, name: str, part: str = "") -> Row:
         """Add a published folder to another table of the same columns; nothing is copied."""
         return self._commit(name, part, stored.paths, stored.n, append=True)
@@ -100,6 +122,8 @@ class TableStore:
         jvm = self.spark._jvm
         base = jvm.org.apache.hadoop.fs.Path(self.root)
         files = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # Parts that were written together lie below one folder.
+        named |= {path.rpartition("/")[0] for path in named if "/snapshot=parts-" in path}
         kept = {files.makeQualified(jvm.org.apache.hadoop.fs.Path(path)).toString() for path in named}
         gone = 0
         for pattern in ("*/snapshot=*", "*/part=*/snapshot=*"):
