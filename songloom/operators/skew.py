@@ -17,11 +17,17 @@ def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
     Counting reads the key columns only and is combined before the shuffle.
     """
-    return (
-        rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return _salts(counted, "_n", on, hot_rows)
+
+
+def _salts(counted: DataFrame, n: str, on: Sequence[str], hot_rows: int) -> DataFrame:
+    return counted.select(*on, F.ceil(F.col(n) / hot_rows).cast("int").alias("_salts"))
+
+
+def even_rows(total: int) -> int:
+    """From how many rows on a key is hot, so that at most 100,000 keys of ``total`` rows are."""
+    return max(1_000, total // 100_000)
 
 
 def _match(left: str, right: str, on: Sequence[str], null_safe: Sequence[str]) -> Column:
@@ -40,19 +46,22 @@ def join_unique(
     spread: str = "seq",
     hot_rows: int | None = HOT_ROWS,
     null_safe: Sequence[str] = (),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per ``on``.
 
     In the columns named by ``null_safe`` NULL is a value like others.
 
     Rows of a hot key get a salt made from ``spread``; the table's row for that key is
-    copied once per salt. ``hot_rows=None`` says that ``rows`` are unique as well.
+    copied once per salt. ``hot_rows=None`` says that ``rows`` are unique as well. ``counted``,
+    with ``on`` and ``n``, says how many rows there are of each key, where that is known.
     """
     on = list(on)
     if hot_rows is not None:
         # One hash and one count per hot key: 12 bytes for each ``hot_rows`` rows at most,
         # whatever the keys are. A clash of hashes spreads one key more, alike on both sides.
-        hot = hot_keys(rows, on, hot_rows).groupBy(F.xxhash64(*on).alias("_h")).agg(F.max("_salts").alias("_salts"))
+        hot = hot_keys(rows, on, hot_rows) if counted is None else _salts(counted.where(F.col("n") > hot_rows), "n", on, hot_rows)
+        hot = hot.groupBy(F.xxhash64(*on).alias("_h")).agg(F.max("_salts").alias("_salts"))
         hot = F.broadcast(hot)
         same = lambda side: F.xxhash64(*[F.col(f"{side}.{c}") for c in on]) == F.col("h._h")
         salted = rows.alias("r").join(hot.alias("h"), same("r"), "left")

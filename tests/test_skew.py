@@ -54,3 +54,15 @@ def test_every_hot_key_is_listed(spark, rows):
     table = spark.range(6000).selectExpr("concat('k', id) as key", "id as v")
     got = join_unique(many, table, hot_rows=1)
     assert got.count() == 12_000 and got.where("v is null or concat('k', v) <> key").count() == 0
+
+
+def test_known_counts_spread_like_counted_ones(spark, rows):
+    from pyspark.sql import functions as F
+    from songloom.operators.skew import even_rows
+
+    many = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(None, 99)], "key string, seq bigint")
+    table = spark.createDataFrame([("hot", "x"), ("k0", "y")], "key string, v string")
+    counted = many.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    plain = rows(join_unique(many, table, hot_rows=7))
+    assert rows(join_unique(many, table, hot_rows=7, counted=counted)) == plain and len(plain) == 91
+    assert even_rows(10) == 1_000 and even_rows(10**12) == 10**7
