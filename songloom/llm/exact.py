@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.llm.common import keep_marked, sized, stored, text_of
+from songloom.llm.common import keep_marked, stored, text_of
 from songloom.llm.hashing import buffer_of
+from songloom.operators.skew import even_rows, join_unique
 
 WINDOW = 32
 MASK_BITS = 11
 SHORTEST = 256
 LONGEST = 16_384
 DIGEST_BYTES = 16
+# Repeated recipes are broadcast up to so many bytes.
+BROADCAST_BYTES = 8 << 20
 # So much of a batch is hashed at once.
 PART_BYTES = 1 << 20
 
@@ -116,7 +119,10 @@ def clashing(docs: DataFrame, recipes: DataFrame, text: str = "text", digest_byt
     With 16 bytes none is to be expected in any corpus (n^2 / 2^129), so the list is short.
     """
     repeated = recipes.where(F.size("recipe") > 0).groupBy("recipe").agg(F.count(F.lit(1)).alias("n"))
-    repeated = sized(stored(repeated.where("n > 1").select("recipe")), 100_000)
+    repeated = stored(repeated.where("n > 1").select("recipe"))
+    # A recipe grows with its text, so its bytes count.
+    bytes_ = repeated.agg(F.sum(F.size("recipe") * (digest_bytes + 16) + 32)).first()[0] or 0
+    repeated = F.broadcast(repeated) if bytes_ <= BROADCAST_BYTES else repeated
     chunks = (
         with_recipe(docs.select(text), text, digest_bytes)
         .join(repeated, F.col("_chunks.ids") == F.col("recipe"), "left_semi")
@@ -155,9 +161,11 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest
     """
     rows = recipes_of(docs, id, text, digest_bytes)
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
-    return rows.alias("r").join(groups.alias("g"), "recipe").select(
-        "r.doc_id", F.col("g.last.doc_id").alias("keep_id"), "g.group_size",
-        (F.col("r.row") == F.col("g.last.row")).alias("kept"), "r.text_sha256",
+    # One text, the empty one as well, may be a third of all rows.
+    joined = join_unique(rows, groups, ["recipe"], "inner", spread="row", hot_rows=even_rows(rows.count()))
+    return joined.select(
+        "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size",
+        (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256",
     )
 
 
