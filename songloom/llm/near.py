@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from songloom.llm.common import keep_marked, sized, stored, text_of
 from songloom.llm.components import connect
 from songloom.llm.hashing import Stretches, U, buffer_of, mix, runs
+from songloom.operators.skew import even_rows, join_unique
 
 SHINGLE = 5
 PERCENT = 75
@@ -315,7 +316,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     leaders = stored(
         banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    led = banded.join(leaders, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    in_bands = leaders.agg(F.sum("n")).first()[0] or 0
+    led = join_unique(banded, leaders.select("key", "leader"), ["key"], "inner", spread="node", hot_rows=even_rows(in_bands), counted=leaders)
+    led = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     likely = stored(_with_sketches(led, classes))
     nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     sets = _sets_of(nodes, classes, plain)
@@ -337,15 +340,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     named = named.select("c.*", F.coalesce("p.component", "c.node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     known = stored(named.join(smallest, "component").select("n", "f", "g", "component", "component_id"))
-    return (
-        signed.select("doc_id", "hash", "n", "f", "g").alias("s")
-        .join(known.alias("k"), F.expr("s.n = k.n and s.f = k.f and s.g = k.g"), "left")
-        .select(
-            "s.doc_id", "s.hash", F.col("s.n").alias("n_shingles"), "k.component",
-            F.when(F.col("s.n") == 0, F.col("s.doc_id")).otherwise(F.col("k.component_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    # All copies of one text meet its class, so they are spread.
+    rows = signed.select("doc_id", "hash", "n", "f", "g")
+    joined = join_unique(rows, known, ["n", "f", "g"], spread="doc_id", hot_rows=even_rows(signed.count()))
+    return joined.select(
+        "doc_id", "hash", F.col("n").alias("n_shingles"), "component",
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
