@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.llm.common import sized, stored, text_of
 from songloom.llm.hashing import Stretches, U, buffer_of, runs
+from songloom.operators.skew import even_rows, join_unique
 
 LENGTH = 200
 PIECE = 32
@@ -319,8 +320,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     each = found.select("doc_id", "hash", F.explode("x").alias("x")).select("doc_id", "hash", "x.*")
     anchors = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    anchors = stored(anchors.where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
-    hits = stored(each.join(anchors, "h"))
+    anchors = stored(anchors.where("n > 1").select("h", "n", (F.col("lo") != F.col("hi")).alias("mixed")))
+    # A passage that many texts share is one anchor.
+    hot = even_rows(anchors.agg(F.sum("n")).first()[0] or 0)
+    hits = stored(join_unique(each, anchors.select("h", "mixed"), ["h"], "inner", spread="hash", hot_rows=hot, counted=anchors))
     span = [F.col("s").alias("start"), (F.col("s") + F.col("w") - 1 + length).alias("end")]
     spans = hits.where("not mixed").select("doc_id", "hash", *span)
 
@@ -329,8 +332,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "hash", "s", "w", "p")).alias("one")
         )
     )
-    often = counted.where("n > 1").select("h", "c")
-    spans = spans.union(hits.where("mixed").join(often, ["h", "c"]).select("doc_id", "hash", *span))
+    often = counted.where("n > 1")
+    again = join_unique(
+        hits.where("mixed").withColumn("spread", F.xxhash64("hash", "s")), often.select("h", "c"), ["h", "c"], "inner", spread="spread",
+        hot_rows=hot, counted=often,
+    )
+    spans = spans.union(again.select("doc_id", "hash", *span))
 
     # One copy of each context: places per text, then one look at those texts.
     places = counted.groupBy("one.doc_id", "one.hash").agg(
