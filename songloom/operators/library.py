@@ -51,6 +51,12 @@ def unique_plays(plays: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFra
     return first_per_key(with_key(plays, PLAYS_SOURCE), order=order)
 
 
+def with_more_plays(unique: DataFrame, plays: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The songs of a play history after more plays: what it had and the first of the new ones."""
+    first = unique_plays(plays, order).select(*unique.columns)
+    return unique_plays(unique.unionByName(first), order).select(*unique.columns)
+
+
 def as_liked(plays: DataFrame) -> DataFrame:
     """Plays in the shape of liked songs."""
     return plays.withColumn("artists", F.array("artist"))

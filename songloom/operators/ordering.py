@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from songloom.operators.scratch import kept
 
 # Every task may send a prefix of this length to the one that picks the final rows.
 SHORT_PREFIX = 1_000
-# Numbering works on groups of 2**16 neighbouring values, and of such groups again.
-GROUP_BITS = 16
-LEVELS = 3
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -63,36 +62,16 @@ def first_n(df: DataFrame, limit: int | None) -> DataFrame:
 def number_rows(df: DataFrame, order: str = "seq") -> DataFrame:
     """Number rows 1, 2, .. by a unique bigint column, without one global sort.
 
-    Rows are numbered inside groups of neighbouring values; the counts of the groups give
-    each group its offset. As every level joins 2**16 values, no task sorts more than
-    65536 rows as one window, however the values are spread.
+    The rows are computed once and stored, then dealt to tasks by ranges of the column and
+    stored in order, each with its task and its place there. How many rows each task has gives
+    every task its offset: one small row per task is summed up and broadcast.
     """
-    grouped = df.withColumn("_group", F.shiftright(_placed(order), GROUP_BITS))
-    counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("_group").orderBy(order))
-    return (
-        grouped.withColumn("_inside", inside)
-        .join(_offsets(counts, LEVELS - 1), "_group")
-        .withColumn("number", F.col("_offset") + F.col("_inside"))
-        .drop("_group", "_inside", "_offset")
-    )
-
-
-def _offsets(counts: DataFrame, levels: int) -> DataFrame:
-    """``_group, _offset``: how many rows lie in the groups before."""
-    if levels == 0:
-        # At most 2**16 groups are left.
-        return counts.select("_group", _rows_before(Window.orderBy("_group")).alias("_offset"))
-    upper = counts.withColumn("_upper", F.shiftright("_group", GROUP_BITS))
-    sums = upper.groupBy(F.col("_upper").alias("_group")).agg(F.sum("_n").alias("_n"))
-    above = _offsets(sums, levels - 1).toDF("_upper", "_above")
-    before = _rows_before(Window.partitionBy("_upper").orderBy("_group"))
-    return (
-        upper.withColumn("_before", before).join(above, "_upper")
-        .select("_group", (F.col("_above") + F.col("_before")).alias("_offset"))
-    )
-
-
-def _rows_before(window: WindowSpec) -> Column:
-    lower = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("_n").over(lower), F.lit(0))
+    rows = kept(df.withColumn(order, _placed(order)))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = rows.repartitionByRange(order).sortWithinPartitions(order)
+    placed = kept(spread.withColumn("_task", F.spark_partition_id()).withColumn("_at", place))
+    counts = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.join(F.broadcast(offsets), "_task").withColumn("number", F.col("_offset") + F.col("_at") + 1)
+    return numbered.select(*df.columns, "number")

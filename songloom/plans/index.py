@@ -18,30 +18,41 @@ from songloom.operators.upsert import upsert
 
 INDEX_COLUMNS = (
     "id", "model", "document", "embedding", "norm",
-    "track_name", "artist_name", "album", "instrumental", "has_lyrics",
+    "track_name", "artist_name", "album", "instrumental", "has_lyrics", "digest",
 )
+# What the digest of an index row is made of.
+SHOWN = ("track_name", "artist_name", "album", "instrumental", "document")
+# Up to this many changed ids the songs stay where they are.
+BROADCAST_CHANGED = 200_000
 DEFAULT_RESULTS = 5
 # Up to this many found ids the documents are not shuffled to show them.
 BROADCAST_HITS = 200_000
 
 
+def offered(songs: DataFrame) -> DataFrame:
+    """Documents of songs with the digest of what the index shows of them."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SHOWN]
+    return documents(songs).withColumn("digest", F.sha2(F.to_json(F.array(*shown)), 256))
+
+
 def index_rows(songs: DataFrame, encoder: Encoder) -> DataFrame:
     """Songs -> index rows; songs with nothing to encode are left out."""
-    return encode(documents(songs), encoder).select(*INDEX_COLUMNS)
+    return encode(offered(songs), encoder).select(*INDEX_COLUMNS)
 
 
 def changed_rows(index: DataFrame, songs: DataFrame, encoder: Encoder) -> DataFrame:
     """Index rows of the songs that are new or read differently now.
 
-    Encoding the same document again would give the same row, so it is not done. Documents
-    are compared by digest; the index is read without vectors.
+    Encoding the same document again would give the same row, so it is not done. Only ids and
+    digests meet, those of the index as stored with its rows; documents follow for the ids that
+    changed.
     """
-    shown = ["id", "track_name", "artist_name", "album", "instrumental"]
-    mine = index.where(F.col("model") == encoder.model)
-    known = mine.select(*shown, F.sha2("document", 256).alias("digest"))
-    offered = documents(songs).withColumn("digest", F.sha2("document", 256))
-    new = offered.join(known, [*shown, "digest"], "left_anti")
-    return encode(new, encoder).select(*INDEX_COLUMNS)
+    known = index.where(F.col("model") == encoder.model).select("id", "digest")
+    new = offered(songs)
+    changed = kept(new.select("id", "digest").join(known, ["id", "digest"], "left_anti").select("id"))
+    if changed.count() <= BROADCAST_CHANGED:
+        changed = F.broadcast(changed)
+    return encode(new.join(changed, "id", "left_semi"), encoder).select(*INDEX_COLUMNS)
 
 
 def build_index(index: DataFrame, cache: DataFrame, encoder: Encoder) -> DataFrame:

@@ -23,6 +23,7 @@ from songloom.operators.library import (
     both_sources,
     unique_plays,
     with_key,
+    with_more_plays,
 )
 from songloom.operators.listings import list_liked, list_plays
 from songloom.operators.lookup import best_record
@@ -90,6 +91,22 @@ class Workspace:
         columns = self.raw_plays().columns
         return self.tables.publish(unique_plays(plays).select(*columns), PLAYS_SOURCE)
 
+    def add_plays(self, pages: DataFrame) -> Row:
+        """Store more landed plays beside those there are; only these and the known songs are read.
+
+        Their page numbers must go on from those before.
+        """
+        plays = normalize_plays(pages)
+        known = self.tables.read(PLAYS_SOURCE, schemas.PLAYS)
+        self.tables.publish(rejected_plays(pages), REJECTED, PLAYS_SOURCE, append=True)
+        self.tables.publish(plays, RAW_PLAYS, append=True)
+        return self.tables.publish(with_more_plays(known, plays), PLAYS_SOURCE)
+
+    def play_counts(self) -> tuple[int, int]:
+        """Plays and the different songs among them, from the manifest."""
+        entries = [self.tables.entry(name) for name in (RAW_PLAYS, PLAYS_SOURCE)]
+        return tuple(0 if e is None else e.n for e in entries)
+
     def load_lyrics(self, records: DataFrame) -> Row:
         """Store landed lyric records, one row per record id.
 

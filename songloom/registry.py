@@ -17,7 +17,7 @@ from songloom.operators.documents import documents, embeddable, found_songs
 from songloom.operators.encoders import HashingEncoder, encode
 from songloom.operators.keyword import keyword_search
 from songloom.operators.library import (
-    LIKED_SOURCE, PLAYS_SOURCE, both_sources, unique_plays, with_lookup,
+    LIKED_SOURCE, PLAYS_SOURCE, both_sources, unique_plays, with_lookup, with_more_plays,
 )
 from songloom.operators.listings import (
     list_enriched, list_liked, list_lyric_results, list_plays,
@@ -25,6 +25,7 @@ from songloom.operators.listings import (
 from songloom.operators.lookup import look_up
 from songloom.operators.ordering import first_n, last_per_key
 from songloom.operators.postings import search_records, stored_postings
+from songloom.operators.scratch import kept
 from songloom.operators.similarity import top_k
 from songloom.plans import index as indexing
 from songloom.plans.workspace import LOAD_SOURCES, NothingStored, Workspace
@@ -182,10 +183,24 @@ def song_key(spark, sf_dir):
 
 @query(sql("unique_plays", f" SELECT key, name, artist, album, {PLAY_ORDER.replace('l_shipdate', 'CAST(l_shipdate AS VARCHAR) AS l_shipdate')} FROM unique_plays"))
 def dedup_first(spark, sf_dir):
-    kept = unique_plays(proxies.plays(spark, sf_dir), proxies.PLAY_ORDER)
+    return _first_plays(unique_plays(proxies.plays(spark, sf_dir), proxies.PLAY_ORDER))
+
+
+def _first_plays(songs: DataFrame) -> DataFrame:
     day = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate")
     order = [day if c == "l_shipdate" else F.col(c) for c in proxies.PLAY_ORDER]
-    return kept.select("key", "name", "artist", "album", *order)
+    return songs.select("key", "name", "artist", "album", *order)
+
+
+@query(ORACLES["dedup_first"])
+def plays_in_three_loads(spark, sf_dir):
+    """The same songs from a third of the plays at a time."""
+    tables = _store(spark)
+    plays = proxies.plays(spark, sf_dir)
+    for third in range(3):
+        some = plays.where(F.col("l_orderkey") % 3 == third)
+        tables.publish(with_more_plays(tables.read("songs", plays.schema), some, proxies.PLAY_ORDER), "songs")
+    return _first_plays(tables.read("songs", plays.schema))
 
 
 @query(sql("plays", " SELECT count(*) AS plays, count(DISTINCT key) AS unique_songs FROM plays"))
@@ -571,17 +586,23 @@ def _index(spark, sf_dir, songs: DataFrame) -> DataFrame:
   , saved AS ({_SAVED}), fresh AS (
     SELECT key AS id, instrumental, 'Song: ' || track_name || ' by ' || artist_name || chr(10) ||
       CASE WHEN instrumental THEN 'This is an instrumental track with no vocals or lyrics.'
-        ELSE 'Lyrics:' || chr(10) || plain_lyrics END AS document FROM saved)
-  SELECT id, 'hashing-64' AS model, instrumental, md5(document) AS document_md5,
-    1.0::DOUBLE AS length FROM fresh
-  UNION ALL SELECT id, 'hashing-64', instrumental, md5(document), 1.0::DOUBLE
-  FROM docs WHERE id NOT IN (SELECT id FROM fresh)"""))
+        ELSE 'Lyrics:' || chr(10) || plain_lyrics END AS document FROM saved),
+  named AS (
+    SELECT id, instrumental, document AS text FROM fresh
+    UNION ALL SELECT id, instrumental, document FROM docs WHERE id NOT IN (SELECT id FROM fresh)),"""
+    + hashed("h", "id", "named") + """
+  SELECT id, 'hashing-64' AS model, instrumental, md5(text) AS document_md5, 1.0::DOUBLE AS length,
+    cells, heaviest
+  FROM named JOIN (SELECT id, count(*) AS cells, round(max(CAST(w AS DOUBLE)), 6) AS heaviest
+    FROM h_v GROUP BY id) USING (id)"""))
 def index_upsert(spark, sf_dir):
-    before = _index(spark, sf_dir, found_songs(proxies.cache(spark, sf_dir)))
+    before = kept(_index(spark, sf_dir, found_songs(proxies.cache(spark, sf_dir))))
     saved = last_per_key(proxies.delta(spark, sf_dir))
     after = indexing.build_index(before, saved, ENCODER)
     return after.select(
-        "id", "model", "instrumental", digest("document"), F.round("norm", 6).alias("length")
+        "id", "model", "instrumental", digest("document"), F.round("norm", 6).alias("length"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("cells"),
+        F.round(F.array_max("embedding").cast("double"), 6).alias("heaviest"),
     )
 
 

@@ -48,7 +48,7 @@ CACHE = (
 INDEX = (
     "id string, model string, document string, embedding array<float>, norm double,"
     " track_name string, artist_name string, album string, instrumental boolean,"
-    " has_lyrics boolean"
+    " has_lyrics boolean, digest string"
 )
 MANIFEST = (
     "name string, part string, snapshot bigint, paths array<string>, fetched_at timestamp, n bigint"

@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from songloom import schemas
 
@@ -46,7 +47,7 @@ class TableStore:
         mine = self.manifest().where((F.col("name") == name) & (F.col("part") == part))
         return mine.orderBy(F.desc("snapshot")).first()
 
-    def read(self, name: str, schema: str, part: str = "") -> DataFrame:
+    def read(self, name: str, schema: str | StructType, part: str = "") -> DataFrame:
         """The newest snapshot, an empty table if there is none."""
         entry = self.entry(name, part)
         if entry is None or not entry.paths:

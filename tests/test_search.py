@@ -179,6 +179,18 @@ def test_only_changed_songs_are_encoded(spark, rows):
     assert rows(build_index(index, again, ENCODER)) == rows(full)
 
 
+def test_documents_do_not_cross_an_exchange_to_find_changes(spark, monkeypatch):
+    index = build_index(spark.createDataFrame([], schemas.INDEX), cache(spark, entry("a"), entry("b")), ENCODER)
+    plans = []
+    monkeypatch.setattr(plans_index, "kept", lambda df: plans.append(df) or df)
+    rows = changed_rows(index, cache(spark, entry("a", "new"), entry("b")), ENCODER)
+    assert [r.id for r in rows.collect()] == ["a||ann"]
+    for df in (plans[0], rows):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange" in line]
+        assert moved and not any("document" in line for line in moved)
+
+
 def test_album_comes_from_the_library(spark, rows):
     library = spark.createDataFrame([(2, "a||ann", "Two"), (1, "a||ann", "One")], "seq bigint, key string, album string")
     got = index_rows(with_album(cache(spark, entry("a"), entry("b")), library), ENCODER)

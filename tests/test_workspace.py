@@ -99,6 +99,19 @@ def test_rejected_pages_are_stored(spark, music):
     assert music.rejected_pages().count() == 0
 
 
+def test_plays_come_in_several_loads(spark, music, rows):
+    later = lambda page, df: df.withColumn("page", df.page + page)
+    first, second = pages(spark, plays_page([play("Moon"), play("rain")])), pages(spark, plays_page([play("moon "), play("Sun")]))
+    music.add_plays(first)
+    assert music.play_counts() == (2, 2)
+    music.add_plays(later(10, second))
+    music.add_plays(later(20, first))
+    assert music.play_counts() == (6, 3)
+    stepwise = rows(music.library("lastfm")[0], "key", "name", "seq")
+    music.load("lastfm", play_pages=first.unionByName(later(10, second)).unionByName(later(20, first)))
+    assert rows(music.library("lastfm")[0], "key", "name", "seq") == stepwise and music.play_counts() == (6, 3)
+
+
 def test_records_without_an_id_are_kept(spark, music):
     row = lambda i, text: (i, "Sun", None, "Cy", "", 9.0, False, text, None)
     records = spark.createDataFrame([row(None, "one"), row(None, "two"), row(None, "two"), row(7, "x"), row(7, "y")], schemas.LYRIC_RECORD)
