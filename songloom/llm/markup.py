@@ -50,7 +50,7 @@ _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "hash", "keys", "shape", "chars", "linked", "running", "holds", "_named")
+    __slots__ = ("tag", "attributes", "children", "hash", "keys", "shape", "chars", "linked", "running", "holds", "vote", "_named")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes = tag, attributes
@@ -58,8 +58,8 @@ class Element:
         self.hash = self.shape = 0
         # What the element is counted by where it recurs; set by ``hash_subtrees``.
         self.keys: tuple[int, ...] = ()
-        # Set by ``measure``: characters in all, in links, in running text; parts that it holds (1 main, 2 article).
-        self.chars = self.linked = self.running = self.holds = 0
+        # Set by ``measure``: characters in all, in links, in running text; parts that it holds (1 main, 2 article); by ``hash_subtrees``: what it says of its shape.
+        self.chars = self.linked = self.running = self.holds = self.vote = 0
         self._named: dict[str, str] | None = None
 
     def named(self) -> dict[str, str]:
@@ -267,7 +267,7 @@ def blocks(element: Element, dropped: frozenset[int] | set[int], inside: int = 0
 
 
 def goes(node: Element, dropped: frozenset[int] | set[int], inside: int, whole: int, lists: bool = True) -> bool:
-    if dropped and (removable(node, inside) and not dropped.isdisjoint(node.keys) or node.shape in dropped and shaped(node, inside)):
+    if dropped and (removable(node, inside) and not dropped.isdisjoint(node.keys) or node.shape in dropped and node.vote >= 0 and shaped(node, inside)):
         return True
     if lists:
         return node.furniture(inside, whole)
@@ -288,9 +288,15 @@ def shaped(node: Element, inside: int) -> bool:
     return node.tag in CONTAINERS and not node.holds and (not inside or node.name() == "hint")
 
 
-def evidence(node: Element, whole: int) -> bool:
-    """Whether a part looks like furniture apart from its names: mostly links, or a little text that does not run."""
-    return bool(node.chars) and (2 * node.linked >= node.chars or not node.running and 5 * node.chars <= whole)
+def _vote(node: Element, page: int) -> int:
+    """What a part says of its shape, on a page of so many characters, apart from its names.
+
+    1: furniture, as it is mostly links, or a little text that does not run; -1: text, as it
+    runs or is most of the page; 0: neither.
+    """
+    if node.chars and (2 * node.linked >= node.chars or not node.running and 5 * node.chars <= page):
+        return 1
+    return -1 if node.running or 2 * node.chars > page else 0
 
 
 def main_parts(root: Element, dropped: frozenset[int] | set[int] = frozenset()) -> list[tuple[Element, int]]:
@@ -365,6 +371,10 @@ def hash_subtrees(root: Element) -> None:
                 h.update(b"\2" + child.hash.to_bytes(8, "little", signed=True))
         node.hash = int.from_bytes(h.digest(), "little", signed=True)
         node.keys = (node.hash,)
+        if node.tag in INLINE:
+            continue
+        if node.tag in CONTAINERS:
+            node.vote = _vote(node, root.chars)
         # What a subtree looks like without its texts; repeated items count once.
         inner: list[str] = []
         for child in node.children:
@@ -372,9 +382,11 @@ def hash_subtrees(root: Element) -> None:
                 look = str(child.shape)
                 if not inner or inner[-1] != look:
                     inner.append(look)
-        named = node.named()
-        node.shape = _mixed(0, f"{node.tag}|{' '.join(sorted(named))}|{' '.join(sorted(named.get('class', '').split()))}|{' '.join(inner)}")
+        named = node.named() if node.attributes else {}
+        names = f"{' '.join(sorted(named))}|{' '.join(sorted(named.get('class', '').split()))}" if named else "|"
+        node.shape = _mixed(0, f"{node.tag}|{names}|{' '.join(inner)}")
     paths: list[tuple[Element, str]] = [(root, "")]
+    known: dict[tuple[str, str], str] = {}
     while paths:
         around, path = paths.pop()
         held = [c for c in around.children if isinstance(c, Element)]
@@ -382,9 +394,14 @@ def hash_subtrees(root: Element) -> None:
             if node.tag in TEXTS:
                 node.keys = tuple(_mixed(node.hash, f"{path} {place}") for place in (at, at - len(held)))
             # A shape counts in its place.
-            node.shape = _mixed(node.shape, path)
-        # Depth is cut to a digest, as pages may nest without limit.
-        paths.extend((c, _mixed_path(path, c.tag)) for c in held if c.children)
+            if node.tag in CONTAINERS:
+                node.shape = _mixed(node.shape, path)
+            if node.children and node.tag not in INLINE:
+                # Depth is cut to a digest, as pages may nest without limit.
+                below = known.get((path, node.tag))
+                if below is None:
+                    below = known[path, node.tag] = _mixed_path(path, node.tag)
+                paths.append((node, below))
 
 
 def _mixed(number: int, place: str) -> int:
@@ -397,21 +414,24 @@ def _mixed_path(path: str, tag: str) -> str:
 
 
 
-def main_text(root: Element, dropped: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
-    parts = main_parts(root, dropped) if lists else [(root, 0)]
+def main_text(
+    root: Element, dropped: frozenset[int] | set[int] = frozenset(), lists: bool = True,
+    parts: list[tuple[Element, int]] | None = None,
+) -> str:
+    """The text of a page; without ``lists`` only dropped hashes go from it."""
+    if parts is None:
+        parts = main_parts(root, dropped) if lists else [(root, 0)]
     return "\n".join(b for part, inside in parts for b in blocks(part, dropped, inside, lists))
 
 
-def candidates(root: Element) -> tuple[list[int], list[int], list[int], bool]:
+def candidates(root: Element) -> tuple[list[int], list[int], list[int]]:
     """Keys of all subtrees of the page that may be a template: navigation, adverts and footers too.
 
     Besides them, shapes that here hold running text or most of the page, which counts against
-    them, and shapes of which this page says nothing; then whether the text is read from
-    articles or main parts.
+    them, and shapes of which this page says nothing.
     """
     seen: set[int] = set()
-    against: set[int] = set()
-    open_: set[int] = set()
+    shapes: dict[int, set[int]] = {1: seen, 0: set(), -1: set()}
     stack = [(root, 0)]
     while stack:
         node, inside = stack.pop()
@@ -421,8 +441,7 @@ def candidates(root: Element) -> tuple[list[int], list[int], list[int], bool]:
             if removable(node, inside):
                 seen.update(node.keys)
             if shaped(node, inside):
-                for_ = evidence(node, root.chars)
-                (seen if for_ else against if node.running or 2 * node.chars > root.chars else open_).add(node.shape)
+                shapes[node.vote].add(node.shape)
         inside = max(inside, LEVEL.get(node.kind(), 0))
         stack.extend((c, inside) for c in node.children if isinstance(c, Element))
-    return sorted(seen), sorted(against), sorted(open_ - seen - against), main_parts(root)[0][1] > 0
+    return sorted(seen), sorted(shapes[-1]), sorted(shapes[0] - seen - shapes[-1])

@@ -113,6 +113,7 @@ def site_pages():
 def test_shapes_that_recur_go(spark):
     df = spark.createDataFrame(site_pages(), SCHEMA)
     got = {r.page_id: r.text for r in pages.page_texts(df).collect()}
+    assert got == {r.page_id: r.text for r in pages.page_texts(df, broadcast=0).collect()}
     for k in range(12):
         assert got[k] == f"Paragraph {k} of the story, which runs.\nIt goes on for {k} words and more of them."
     # A host with one page shows no template.
@@ -183,14 +184,15 @@ def test_recurrence_does_not_scale_with_the_host(spark):
     # As many copies of a page as make it hot.
     rows += [(3000 + k, "http://big/", rows[0][2]) for k in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for broadcast in (0, 1000):
+    for broadcast in (0, 1 << 20):
         got = {r.page_id: r.text for r in pages.page_texts(df, broadcast=broadcast).collect()}
         assert len(got) == len(rows)
         assert all(got[k] == f"Story {k}" for k in range(12)) and got[3007] == "Story 0"
         assert got[13] == "Story 13\na\nb" and got[1002] == "Tale 2\na\nb"
         assert "Thanks." in got[2003] and "Ours." not in got[2003]
     found = pages.subtrees_of(df)
-    plain, salted = (pages.lists_of_pages(found, **hot).selectExpr("host", "page", "sort_array(hashes)") for hot in ({}, {"hot_rows": 3}))
+    known = pages.templates(found)
+    plain, salted = (pages.lists_of_pages(found, known, **hot).selectExpr("host", "page", "sort_array(hashes)") for hot in ({}, {"hot_rows": 3}))
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, salted.collect()))
 
 
