@@ -45,19 +45,25 @@ def _plays_tracks() -> Column:
     return F.from_json(F.from_json("body", schemas.PLAYS_BODY)["recenttracks"]["track"], schemas.PLAYS_TRACKS)
 
 
-def _refused(pages: DataFrame, songs: Column) -> DataFrame:
+def _refused(pages: DataFrame, songs: Column, missing: Column | None = None) -> DataFrame:
     error = F.get_json_object("body", "$.error")
     reason = (
         F.when(F.col("page").isNull(), "no page number")
         .when(error.isNotNull(), F.concat(F.lit("error "), error))
         .when(songs.isNull(), "no list of songs")
     )
+    if missing is not None:
+        reason = reason.when(missing > 0, F.concat(missing.cast("string"), F.lit(" without a track")))
     return pages.select("page", "body", reason.alias("reason")).where("reason is not null")
 
 
 def rejected_liked(pages: DataFrame) -> DataFrame:
-    """Saved-track pages that ``normalize_liked`` can't read, and why: ``page, body, reason``."""
-    return _refused(pages, _liked_items())
+    """Saved-track pages that ``normalize_liked`` can't read, and why: ``page, body, reason``.
+
+    A page that it reads except for items without a track is among them, with their number.
+    """
+    items = _liked_items()
+    return _refused(pages, items, F.size(F.filter(items, lambda item: item["track"].isNull())))
 
 
 def rejected_plays(pages: DataFrame) -> DataFrame:

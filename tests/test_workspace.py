@@ -99,6 +99,12 @@ def test_rejected_pages_are_stored(spark, music):
     assert music.rejected_pages().count() == 0
 
 
+def test_items_without_a_track_are_counted(spark, music):
+    music.load("spotify", pages(spark, {"items": [saved("1"), {"added_at": "x"}, {"track": None}]}, {"items": [saved("2")]}))
+    assert [(r.page, r.reason) for r in music.rejected_pages().collect()] == [(1, "2 without a track")]
+    assert music.liked_songs().count() == 2
+
+
 def test_plays_come_in_several_loads(spark, music, rows):
     later = lambda page, df: df.withColumn("page", df.page + page)
     first, second = pages(spark, plays_page([play("Moon"), play("rain")])), pages(spark, plays_page([play("moon "), play("Sun")]))
