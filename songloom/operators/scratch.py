@@ -22,6 +22,7 @@ def with_block(rows: DataFrame, block: DataFrame, name: str = "block") -> DataFr
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = rows.withColumn("_first", F.when(place == 0, True))
-    shared = block.select(F.lit(True).alias("_here"), name)
+    # Always true, but not as a constant: so it stays a key of the join.
+    shared = block.select((F.size(name) >= 0).alias("_here"), name)
     joined = placed.join(F.broadcast(shared), F.col("_first") == F.col("_here"), "left")
     return joined.select(*rows.columns, name)
