@@ -28,7 +28,9 @@ HEADLINE = (
     "index_upsert",
     "vector_topk",
     "vector_topk_batch",
+    "vector_topk_all",
     "text_topk_batch",
+    "keyword_batch",
     "search_results",
     "lyric_keyword_search",
     "listing_plays",
