@@ -1,6 +1,7 @@
 """The queries of this subpackage and the pipeline, on the smallest given tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -61,3 +62,21 @@ def test_stages_one_after_the_other(spark, tokenizer, tmp_path):  # noqa: F811
             assert set(kept) <= set(rows) and max(times.values()) <= 3
         before = after
     assert names == ["toxicity", "exact dedup", "near dedup", "mixing sources", "best-fit packing"]
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["n", "bytes"])
+
+    docs = spark.range(0, 6, 1, 1).selectExpr("repeat('word ', if(id = 3, 1600000, 300000)) text")
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        found = corpus_pipeline.in_small_batches(lambda s, d, _: d.mapInArrow(sizes, "n long, bytes long"))(spark, docs, SF).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(row.n for row in found) == 6 and len(found) > 1
+    # A batch ends with the text that fills it, and no text is cut.
+    assert sum(row.bytes for row in found) >= 5 * (5 * 300_000 + 1_600_000)
+    assert max(row.n for row in found) <= corpus_pipeline.BATCH_BYTES // 1_500_000 + 1
